@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowgrid.llm import components
+from knowgrid.llm import components, languages, leaks
 from knowgrid.session import table
 
 LINK_CONFIDENCE = 0.6
@@ -26,6 +26,30 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("item_id", "doc_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items by the documents they leaked into and the longest passage."""
+    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("span").alias("longest"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    segs = languages.label_stretches(table(spark, d, "documents"))
+    return segs.where("n_segs > 1 or label_state <> 'right'").select("doc_id", "seg_no", "lang_code")
+
+
+def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of all documents with prose: stretches, words and mean confidence."""
+    segs = languages.label_stretches(table(spark, d, "documents"))
+    return segs.groupBy("lang_code", "label_state").agg(
+        F.count(F.lit(1)).alias("n_segs"), F.sum("words").alias("n_words"), F.round(F.avg("confidence"), 4).alias("confidence")
+    )
+
+
 _P4_CTE = """
 WITH RECURSIVE i AS (SELECT lower(trim(alias)) AS a, lower(trim(canonical)) AS b, confidence AS s FROM autojoin),
 m AS (SELECT a AS id FROM i WHERE a <> '' UNION SELECT b FROM i WHERE b <> ''),
@@ -34,7 +58,14 @@ t(id, g) AS (SELECT id, id FROM m UNION SELECT e.y, t.g FROM t JOIN e ON e.x = t
 f AS (SELECT id AS member_id, min(g) AS group_id FROM t GROUP BY id)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_sizes": p4_sizes}
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_sizes": p4_sizes,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_confidence": p10_confidence,
+}
 ORACLE = {
     "p4_found": _P4_CTE + "SELECT member_id, group_id FROM f",
     "p4_sizes": _P4_CTE + "SELECT size, count(*) AS n_groups FROM (SELECT count(*) AS size FROM f GROUP BY group_id) GROUP BY size",

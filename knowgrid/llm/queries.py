@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowgrid.llm import components, languages, leaks
+from knowgrid.llm import components, languages, leaks, personal
 from knowgrid.session import table
 
 LINK_CONFIDENCE = 0.6
@@ -26,6 +26,21 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def _free_texts(spark: SparkSession, d: str) -> tuple[DataFrame, personal.Lexicon]:
+    fields = (("pd_incidents", "description"), ("pd_notes", "content"), ("matters", "narrative"))
+    texts = personal.union_texts([(n, table(spark, d, n), c) for n, c in fields])
+    sample = texts.select(F.concat_ws("/", "src", "row_id").alias("key"), "text")
+    return texts, personal.fit_lexicon(table(spark, d, "people").select("rec_id", "name"), sample)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_pieces(*_free_texts(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_pieces(*_free_texts(spark, d), redacted=True)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.select("item_id", "doc_id")
@@ -59,6 +74,8 @@ f AS (SELECT id AS member_id, min(g) AS group_id FROM t GROUP BY id)
 """
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p4_found": p4_found,
     "p4_sizes": p4_sizes,
     "p9_found": p9_found,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowgrid.llm import components, languages, leaks, personal
+from knowgrid.llm import components, languages, leaks, names, personal
 from knowgrid.session import table
 
 LINK_CONFIDENCE = 0.6
@@ -26,6 +26,26 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "people").select("rec_id", "name", "email", "title", "team", "org", "manager")
+    mm = table(spark, d, "mailmap")
+    none = [F.lit(None).cast("string").alias(c) for c in ("title", "team", "org", "manager")]
+    proper, commit = mm.select("rec_id", "name", "email", *none), mm.select("rec_id", F.col("commit_name").alias("name"), F.col("commit_email").alias("email"), *none)
+    rows = people.unionByName(proper).unionByName(commit.where("name is not null or email is not null"))
+    return names.link_names(rows, names.fit_habits(people))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entity_pairs(_entities(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Records with their group and its number of records."""
+    groups = _entities(spark, d)
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"), F.min("rec_id").alias("first_rec_id"))
+    return groups.join(sizes, ["group_id"]).select("rec_id", "first_rec_id", "n_records")
+
+
 def _free_texts(spark: SparkSession, d: str) -> tuple[DataFrame, personal.Lexicon]:
     fields = (("pd_incidents", "description"), ("pd_notes", "content"), ("matters", "narrative"))
     texts = personal.union_texts([(n, table(spark, d, n), c) for n, c in fields])
@@ -74,6 +94,8 @@ f AS (SELECT id AS member_id, min(g) AS group_id FROM t GROUP BY id)
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
     "p4_found": p4_found,

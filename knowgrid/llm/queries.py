@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowgrid.llm import components, languages, leaks, names, personal
+from knowgrid.llm import components, languages, leaks, names, packing, personal
 from knowgrid.session import table
 
 LINK_CONFIDENCE = 0.6
@@ -61,6 +61,19 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.personal_pieces(*_free_texts(spark, d), redacted=True)
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, their tokens, the fewest possible by volume, and the share of unused space."""
+    packed = p8_packing(spark, d)
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    out = full.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"), F.sum("n").alias("n_pieces"))
+    bound = F.ceil(F.col("n_tokens") / packing.CAPACITY)
+    return out.withColumn("least_containers", bound).withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * packing.CAPACITY), 6))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.select("item_id", "doc_id")
@@ -100,6 +113,8 @@ QUERIES = {
     "p2_redacted": p2_redacted,
     "p4_found": p4_found,
     "p4_sizes": p4_sizes,
+    "p8_packing": p8_packing,
+    "p8_summary": p8_summary,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,18 @@ def materialise(df: DataFrame, label: str = "step", partitions: int | None = Non
     return out
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows of ``df`` (all, if there are fewer), the same on every run: those of the smallest hash of ``key``.
+
+    Rows beyond about 2n are dropped where they are read, so what reaches one task or the driver doesn't grow with
+    the table.
+    """
+    total, h = df.count(), F.xxhash64(F.col(key), F.lit(17))
+    if total > 4 * n:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 2 * n / total))
+    return df.orderBy(h, key).limit(n)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing lazy refers to it."""
     path = getattr(df, "_knowgrid_path", None)

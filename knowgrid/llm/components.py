@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowgrid.session import discard, materialise
+from knowgrid.session import materialise
 
 #: Rows and columns of the finest grid; its cells are counted and their counts (at most GRID * (GRID + 1) / 2) planned with.
 GRID = 128
@@ -103,7 +103,7 @@ def connected_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFr
     large is split over several tasks, since any part of a block may be solved by itself. Repeated, reversed and
     self pairs are harmless; an empty table gives an empty one.
     """
-    maps, spent = [], []
+    maps = []
     while True:
         placed, blocks = _blocks(edges, block_edges)
         stars = placed.repartitionById(blocks, F.col("pid")).select("u", "v").mapInArrow(_solve, "v string, r string")
@@ -115,7 +115,6 @@ def connected_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFr
         others = F.when(F.size("_all") > 1, F.array_remove(F.col("_all"), F.col("m")))
         merged = materialise(merged.select("v", "m", others.alias("others")), "groups")
         maps.append(merged.select("v", "m"))
-        spent.append(merged)
         edges = merged.where("others is not null").select(F.explode("others").alias("u"), F.col("m").alias("v")).distinct()
         if edges.isEmpty():
             break

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowgrid.llm.prose import unmarked
+from knowgrid.session import hash_sample
 
 # The languages told apart, with the codes and names that labels use for them.
 NAMES = {
@@ -190,6 +191,8 @@ def sample_labelled(docs: DataFrame, key: str, text: str, lang: str, per_languag
     base = F.regexp_extract(low, r"^([^-_\s]+)", 1)
     code = F.coalesce(F.when(low.isin(*_OF), table[low]), F.when(base.isin(*_OF), table[base]))
     named = docs.select(F.col(key).alias("_k"), F.substring(text, 1, chars).alias("_t"), code.alias("_c")).where("_c is not null and length(trim(_t)) >= 40")
+    # A language of one document in a hundred still fills its part of a sample of this size.
+    named = hash_sample(named, "_k", 100 * per_language)
     order = Window.partitionBy("_c").orderBy(F.xxhash64("_k"), "_k")
     rows = named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).orderBy("_c", "_n").collect()
     return [(r["_c"], r["_t"]) for r in rows]

@@ -8,18 +8,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from knowgrid.functions import words as W
 from knowgrid.functions.stem import stem
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Compatibility forms and diacritics removed."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_word(s: pd.Series) -> pd.Series:
     """Porter2 stem; apply it to distinct words and join back."""
     return s.map(lambda x: None if x is None else stem(x))

@@ -67,12 +67,12 @@ def preorder_ranges(sized: DataFrame, buckets: int = SIBLING_BUCKETS) -> DataFra
 def hierarchy(links: DataFrame, sep: str = ">") -> DataFrame:
     """``node, parent, root_node, lvl, node_path, lft, size, in_circle`` for every row of ``links`` (``node, parent``).
 
-    Nodes are distinct and not NULL; a parent that is no node counts as none. Those the two passes never reach
+    Nodes are distinct, NULL ones are left out; a parent that is no node counts as none. Those the two passes never reach
     have no range: they are on a circle or below one and get root 'cycle', level -1 and an empty path. A node
     that is its own parent is a circle of one. Ranges of different trees don't overlap. An empty table gives
     an empty one.
     """
-    named = links.select("node", F.when(F.col("parent") != "", F.col("parent")).alias("parent"))
+    named = links.where("node is not null").select("node", F.when(F.col("parent") != "", F.col("parent")).alias("parent"))
     nodes = named.select(F.col("node").alias("_n"))
     named = named.join(nodes, F.col("parent") == F.col("_n"), "left").select("node", F.col("_n").alias("parent"))
     chains = ancestor_chains(named)

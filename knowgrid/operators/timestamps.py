@@ -138,6 +138,7 @@ def normalise(values: DataFrame, sites: DataFrame, keep: tuple[str, ...], day_sl
     history such readings are UTC. NULL and blank values are unreadable, repeated rows come out repeated, an
     empty table gives an empty one. ``sites`` is ``site, time_zone, day_first``, one row per site.
     """
+    values = values.select(*dict.fromkeys((*keep, "value", "site", "ingested_us")))
     declared = sites.select("site", F.col("time_zone").alias("_declared"), F.col("day_first").alias("_day_first"))
     parsed = parse_wall(values.join(declared, ["site"], "left").withColumn("_day_first", F.coalesce("_day_first", F.lit(False))), "value", "_day_first")
     unknown = parse_wall(

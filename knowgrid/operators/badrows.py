@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knowgrid.session import spread
+
 PEOPLE_COLUMNS = ("name", "email", "title", "team", "org", "manager", "topics")
 BLOCK_ROWS = 512
 
@@ -89,10 +91,27 @@ def diagnose(line: str | None, width: int = len(PEOPLE_COLUMNS)) -> tuple[str |
     return ("value" if value_fault(fields[0], fields[1], fields[5]) else None), fields
 
 
-def _bulk(lines: pa.Array, names: tuple[str, ...], regex: str) -> pa.Table | None:
-    """The block as columns, or None if any record of it isn't of the strict form."""
-    if lines.null_count or not pc.all(pc.match_substring_regex(lines, regex)).as_py():
-        return None
+def _sound(lines: pa.Array, regex: str) -> bool:
+    """Whether every record of the block is of the strict form: one columnar kernel over the block."""
+    return not lines.null_count and bool(pc.all(pc.match_substring_regex(lines, regex)).as_py())
+
+
+def _isolate(lines: pa.Array, regex: str) -> tuple[list[int], list[int]]:
+    """Places of sound and of bad records: a block that fails is halved until its bad records stand alone."""
+    good, bad, todo = [], [], [(0, len(lines))]
+    while todo:
+        at, n = todo.pop()
+        if n and _sound(lines.slice(at, n), regex):
+            good += range(at, at + n)
+        elif n > 1:
+            todo += [(at + n // 2, n - n // 2), (at, n // 2)]
+        elif n:
+            bad.append(at)
+    return good, bad
+
+
+def _bulk(lines: pa.Array, names: tuple[str, ...]) -> pa.Table | None:
+    """Sound records as columns, in one parse; None if the parser disagrees."""
     text = "\n".join(lines.to_pylist()).encode() + b"\n"
     try:
         got = pacsv.read_csv(
@@ -116,23 +135,21 @@ def _faulty(t: pa.Table) -> pa.ChunkedArray:
 
 
 def parse_block(ids: pa.Array, raw: pa.Array, names: tuple[str, ...] = PEOPLE_COLUMNS) -> list[tuple]:
-    """(id, reason, *fields) of each record of a block: bulk parse, bisecting while it fails."""
+    """(id, reason, *fields) of each record of a block: sound ones by one bulk parse, isolated ones strictly."""
     lines = pc.replace_substring_regex(raw, r"\r?\n?\z", "")
-    regex, out, todo = _record_regex(len(names)), [], [(0, len(lines))]
-    while todo:
-        at, n = todo.pop()
-        got = _bulk(lines.slice(at, n), names, regex) if n else None
-        if got is not None:
-            doubt = _faulty(got).to_pylist()
-            for k, row in enumerate(zip(*(got[c].to_pylist() for c in names))):
-                reason = "value" if doubt[k] and value_fault(row[0], row[1], row[5]) else None
-                out.append((ids[at + k].as_py(), reason, *row))
-        elif n > 1:
-            todo += [(at + n // 2, n - n // 2), (at, n // 2)]
-        elif n == 1:
-            reason, fields = diagnose(raw[at].as_py(), len(names))
-            keep = fields if reason in (None, "value") else [None] * len(names)
-            out.append((ids[at].as_py(), reason, *keep))
+    good, bad = _isolate(lines, _record_regex(len(names)))
+    got = _bulk(lines.take(pa.array(good, pa.int32())), names) if good else None
+    if good and got is None:
+        good, bad = [], sorted(good + bad)
+    out, keys = [], ids.to_pylist()
+    if got is not None:
+        doubt = _faulty(got).to_pylist()
+        for k, row in enumerate(zip(*(got[c].to_pylist() for c in names))):
+            reason = "value" if doubt[k] and value_fault(row[0], row[1], row[5]) else None
+            out.append((keys[good[k]], reason, *row))
+    for at in bad:
+        reason, fields = diagnose(raw[at].as_py(), len(names))
+        out.append((keys[at], reason, *(fields if reason in (None, "value") else [None] * len(names))))
     return out
 
 
@@ -157,4 +174,4 @@ def separate_bad_rows(df: DataFrame, key: str = "raw_id", line: str = "raw_line"
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), out)], schema=out)
 
-    return df.select(F.col(key).cast("long"), F.col(line).cast("string")).mapInArrow(run, schema)
+    return spread(df.select(F.col(key).cast("long"), F.col(line).cast("string"))).mapInArrow(run, schema)

@@ -45,6 +45,15 @@ def materialise(df: DataFrame, label: str = "step", partitions: int | None = Non
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it lies in fewer pieces than there are cores, as a small file does; else as it is.
+
+    For operators that spend far more time on a row than moving it takes. Large inputs are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows of ``df`` (all, if there are fewer), the same on every run: those of the smallest hash of ``key``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowgrid.llm.prose import unmarked
-from knowgrid.session import hash_sample
+from knowgrid.session import hash_sample, spread
 
 # The languages told apart, with the codes and names that labels use for them.
 NAMES = {
@@ -28,9 +28,9 @@ CODES = tuple(NAMES)
 _OF = {w: code for code, ws in NAMES.items() for w in ws.split()}
 
 #: Labelled documents that the model is fitted on, at most so many of each language, chosen by a hash of the key.
-FIT_DOCS = 600
+FIT_DOCS = 300
 #: Characters of each such document used for fitting (labelling always reads whole texts).
-FIT_CHARS = 4_000
+FIT_CHARS = 3_000
 #: Cost in nats of changing the language between two words, and between two sentences.
 SWITCH_WORD, SWITCH_SENTENCE = 14.0, 5.0
 #: Most that one word may speak against a language.
@@ -227,4 +227,4 @@ def label_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", la
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     kept = docs.select(F.col(key).cast("long"), F.col(text), F.col(lang)).where(F.length(F.trim(F.col(text))) > 0)
-    return kept.mapInArrow(run, f"`{key}` long, seg_no int, lang_code string, confidence double, words int, n_segs int, label_state string")
+    return spread(kept).mapInArrow(run, f"`{key}` long, seg_no int, lang_code string, confidence double, words int, n_segs int, label_state string")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowgrid.llm.prose import plain_words
+from knowgrid.session import spread
 
 #: Words of an item in a row that make a leak.
 LEAK_WORDS = 14
@@ -193,6 +194,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        found = docs.select(F.col(doc_key).cast("long"), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"`{item_key}` long, `{doc_key}` long, span int, met double")
+        found = spread(docs.select(F.col(doc_key).cast("long"), F.col(text)).where(F.col(text).isNotNull())).mapInArrow(run, f"`{item_key}` long, `{doc_key}` long, span int, met double")
         out = found if out is None else out.unionByName(found)
     return out

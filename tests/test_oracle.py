@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from knowgrid.queries import analytics, training_core
+from knowgrid.queries import analytics, knowledge, training_core
 
 DIR = "/root/testdata/sf0.001"
-PAIRS = [(n, m) for m in (analytics, training_core) for n in m.ORACLE]
+PAIRS = [(n, m) for m in (analytics, knowledge, training_core) for n in m.ORACLE]
 
 
 def rows(df):

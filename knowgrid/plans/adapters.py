@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowgrid.functions import text as T
 from knowgrid.operators import risk, search
-from knowgrid.session import table
+from knowgrid.session import spread, table
 
 AS_OF = "2001-11-05"
 RECENT_FROM = "2001-05-09"
@@ -15,7 +15,7 @@ RECENT_FROM = "2001-05-09"
 
 def document_fields(spark: SparkSession, d: str) -> DataFrame:
     """``entity, tokens, weight``: the words of a place's documents (0.5) and of its name (3)."""
-    docs = table(spark, d, "documents").where("place is not null")
+    docs = spread(table(spark, d, "documents").where("place is not null").select("place", "text"))
     body = docs.select(F.col("place").alias("entity"), T.ascii_tokens(F.col("text")).alias("tokens"), F.lit(0.5).alias("weight"))
     name = docs.select("place").distinct().select(F.col("place").alias("entity"), T.ascii_tokens(F.col("place")).alias("tokens"), F.lit(3.0).alias("weight"))
     return body.unionByName(name)

@@ -10,7 +10,7 @@ from knowgrid.functions import words as W
 from knowgrid.functions.identity import normalize_email
 from knowgrid.operators import episodes, risk, search, ties, vectors
 from knowgrid.plans import adapters as A
-from knowgrid.session import table
+from knowgrid.session import spread, table
 
 QUESTION = ("ledger", "export", "tokens", "retries")
 QUERIES: dict = {}
@@ -42,14 +42,14 @@ def _terms(spark: SparkSession, terms) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, t[1] AS first_term, array_to_string(list_sort(list_distinct(t))[1:5], ' ') AS some FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1), lambda x: length(x) >= 2 AND x NOT IN {A.STOP}) AS t FROM documents)")
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", T.ascii_tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.ascii_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.get("t", F.lit(0)).alias("first_term"), F.concat_ws(" ", F.slice(F.sort_array(F.array_distinct("t")), 1, 5)).alias("some"))
 
 
 @query(None)
 def stemmed_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words of all documents with their stems, and how many words share one."""
-    words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    words = spread(table(spark, d, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("token"))
     v = T.stemmed_vocabulary(words)
     return v.groupBy("stem").agg(F.count(F.lit(1)).alias("n_words"), F.min("token").alias("first_word"))
 
@@ -454,7 +454,7 @@ FROM h JOIN documents ON doc_id = episode ORDER BY score DESC, episode LIMIT 5""
 
 
 def _episode_posts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text", "created_at"))
     posts = docs.select(F.col("doc_id").alias("episode"), F.explode(T.ascii_tokens(F.col("text"))).alias("token")).groupBy("episode", "token").agg(F.count(F.lit(1)).alias("tf"))
     return posts, docs.select(F.col("doc_id").alias("episode"), F.col("created_at").alias("occurred"))
 

@@ -33,14 +33,27 @@ def leaders(pt: DataFrame, k: int = 3, exponent: float = 0.5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("topic", "person", "score", "rank")
 
 
+def ranked_prefix(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """``df`` with ``before`` (sum of ``value`` of the group's rows that rank before) and ``total``.
+
+    Rows rank by value, largest first, then by ``tie``. Values (positive) are put in bins of a quarter of a power of
+    two; a prefix sum over a group's few bins plus one inside each bin gives the sum before a row, so that a group
+    that holds a third of all rows is sorted by as many tasks as it has bins.
+    """
+    df = df.withColumn("_bin", F.floor(F.log2(value) * 4))
+    bins = df.groupBy(group, "_bin").agg(F.sum(value).alias("_t"))
+    w = Window.partitionBy(group).orderBy(F.desc("_bin"))
+    bins = bins.select(group, "_bin", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_o"), F.sum("_t").over(Window.partitionBy(group)).alias("total"))
+    inner = Window.partitionBy(group, "_bin").orderBy(F.desc(value), tie).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_i", F.coalesce(F.sum(value).over(inner), F.lit(0.0))).join(bins, [group, "_bin"])
+    return out.withColumn("before", F.col("_o") + F.col("_i")).drop("_bin", "_o", "_i")
+
+
 def bus_factor(pt: DataFrame, share: float = BUS_SHARE) -> DataFrame:
     """``topic, total, experts, bus``: the fewest people who together hold ``share`` of a topic's weight."""
-    w = Window.partitionBy("topic").orderBy(F.desc("w"), "person")
-    s = pt.where("w > 0").withColumn("total", F.sum("w").over(Window.partitionBy("topic")))
-    before = F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.col("total")
-    return s.withColumn("before", F.round(before, 9)).groupBy("topic").agg(
-        F.max("total").alias("total"), F.count(F.lit(1)).alias("experts"), F.sum(F.when(F.col("before") < share, 1).otherwise(0)).alias("bus")
-    )
+    s = ranked_prefix(pt.where("w > 0").select("topic", "person", "w"), "topic", "w", "person")
+    need = F.sum(F.when(F.round(F.col("before") / F.col("total"), 9) < share, 1).otherwise(0))
+    return s.groupBy("topic").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("experts"), need.alias("bus"))
 
 
 def level(experts: Column, bus: Column) -> Column:
@@ -102,14 +115,13 @@ def place_leads(work: DataFrame, exponent: float = 0.25) -> DataFrame:
     w = work.groupBy("place", "person").agg(F.sum("n").cast("double").alias("n"))
     breadth = w.groupBy("person").agg(F.sum("n").alias("b"))
     s = w.join(breadth, ["person"]).withColumn("s", F.round(F.col("n") / F.pow("b", F.lit(exponent)), 9))
-    order = Window.partitionBy("place").orderBy(F.desc("s"), "person")
-    s = s.withColumn("r", F.row_number().over(order)).withColumn("total", F.sum("s").over(Window.partitionBy("place")))
-    before = F.coalesce(F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.col("total")
-    s = s.withColumn("before", F.round(before, 9))
-    return s.groupBy("place").agg(
-        F.count(F.lit(1)).alias("people"), F.sum("n").alias("work"), F.max(F.when(F.col("r") == 1, F.col("person"))).alias("holder"),
-        F.round(F.max(F.when(F.col("r") == 1, F.col("s") / F.col("total"))), 6).alias("share"), F.sum(F.when(F.col("before") < BUS_SHARE, 1).otherwise(0)).alias("bus"),
+    s = ranked_prefix(s, "place", "s", "person")
+    first = F.min(F.struct((-F.col("s")).alias("k"), "person"))
+    out = s.groupBy("place").agg(
+        F.count(F.lit(1)).alias("people"), F.sum("n").alias("work"), first.alias("f"), F.max("total").alias("total"),
+        F.sum(F.when(F.round(F.col("before") / F.col("total"), 9) < BUS_SHARE, 1).otherwise(0)).alias("bus"),
     )
+    return out.select("place", "people", "work", F.col("f.person").alias("holder"), F.round(-F.col("f.k") / F.col("total"), 6).alias("share"), "bus")
 
 
 def ubiquitous(pt: DataFrame, least_people: int = 60, share: float = 0.35) -> DataFrame:

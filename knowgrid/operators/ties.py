@@ -63,6 +63,15 @@ def related(pt: DataFrame, least: float = 0.6) -> DataFrame:
     return out.withColumn("overlap", F.round(F.col("shared") / F.col("n"), 9)).where(F.col("overlap") >= least).select("topic", "other", "shared", "overlap")
 
 
+def families(names: DataFrame, col: str = "name") -> DataFrame:
+    """``a, b`` (a < b) of names of which one holds the other: each name meets the names among its own substrings,
+    by an equality join."""
+    n = names.select(F.col(col).alias("x")).where(F.length("x") > 0).distinct()
+    starts = n.select("x", F.explode(F.sequence(F.lit(1), F.length("x"))).alias("i"))
+    subs = starts.select("x", F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - F.col("i") + 1), lambda k: F.substring("x", F.col("i"), k))).alias("s")).distinct()
+    return subs.join(n.select(F.col("x").alias("s")), ["s"]).where("s <> x").select(F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: smallest node reached, for edges ``a, b``. Minimum labels with pointer jumping: each round a node
     takes the smallest label among its neighbours' labels, then the label of its label."""

@@ -96,9 +96,8 @@ def scrub_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT a.p_brand AS a, b.p_brand AS b FROM part a, part b WHERE a.p_brand < b.p_brand AND (contains(a.p_brand, b.p_brand) OR contains(b.p_brand, a.p_brand))")
 def same_family(spark: SparkSession, d: str) -> DataFrame:
-    """Names that hold each other; both sides are the distinct names only, joined by their words."""
-    n = table(spark, d, "part").select(F.col("p_brand").alias("a")).distinct()
-    return n.join(n.withColumnRenamed("a", "b"), F.expr("a < b")).where(T.same_family(F.col("a"), F.col("b")))
+    """Names that hold each other."""
+    return ties.families(table(spark, d, "part"), "p_brand")
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN n <= 4 THEN n ELSE least(16, round(4 * (1 + ln(n / 4.0)))) END AS INTEGER) AS repeats FROM (SELECT l_partkey AS p_partkey, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -189,16 +188,15 @@ def feedback_rerank(spark: SparkSession, d: str) -> DataFrame:
     return search.apply_feedback(s, votes.unionByName(other), list(QUESTION)).select("entity", r6("score"))
 
 
-_RANKS = """WITH l AS (SELECT 'balance' AS list, c_custkey AS entity, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer
-UNION ALL SELECT 'orders', o_custkey, row_number() OVER (ORDER BY n DESC, o_custkey) FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)) """
+_RANKS = """WITH l AS (SELECT * FROM (SELECT 'balance' AS list, c_custkey AS entity, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer
+UNION ALL SELECT 'orders', o_custkey, row_number() OVER (ORDER BY n DESC, o_custkey) FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)) WHERE rank <= 200) """
 
 
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    bal = table(spark, d, "customer").select(F.lit("balance").alias("list"), F.col("c_custkey").alias("entity"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank"))
-    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
-    return bal.unionByName(n.select(F.lit("orders").alias("list"), "entity", F.row_number().over(Window.orderBy(F.desc("n"), "entity")).alias("rank")))
+    """Two rankings' pools of 200: fusion is over pools, not over whole tables."""
+    bal = search.top(table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), "c_acctbal"), 200, F.desc("c_acctbal"), F.col("entity"))
+    n = search.top(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n")), 200, F.desc("n"), F.col("entity"))
+    return bal.select(F.lit("balance").alias("list"), "entity", "rank").unionByName(n.select(F.lit("orders").alias("list"), "entity", "rank"))
 
 
 @query(_RANKS + "SELECT entity, round(sum(1.0 / (60 + rank)), 9) AS score FROM l GROUP BY entity")

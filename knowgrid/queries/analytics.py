@@ -385,11 +385,17 @@ def regions_cc(spark: SparkSession, d: str) -> DataFrame:
     return ties.regions(t, lead, 1)
 
 
-@query(None)
+@query("""WITH work AS (SELECT row_id AS unit, unnest([upper(matter), lower(service)]) AS topic, who FROM (SELECT row_id, split_part(assignee_email, '@', 1) AS matter, service_name AS service, assignee_email AS who FROM pd_incidents WHERE service_name IS NOT NULL AND assignee_email IS NOT NULL)),
+v AS (SELECT DISTINCT unit, topic, who FROM work WHERE unit IN (SELECT unit FROM work GROUP BY unit HAVING count(DISTINCT topic) BETWEEN 2 AND 18)), pr AS (SELECT x.topic AS a, y.topic AS b, count(*) AS n, count(DISTINCT x.who) AS witnesses, min(x.who) AS one FROM v x JOIN v y ON x.unit = y.unit AND x.topic < y.topic GROUP BY ALL),
+seen AS (SELECT topic, count(*) AS seen FROM v GROUP BY 1), it AS (SELECT count(DISTINCT unit) AS items FROM v), good AS (SELECT topic, seen FROM seen, it WHERE seen >= 5 AND (items < 200 OR seen <= 0.35 * items)),
+w AS (SELECT a, b, round(n / (x.seen + y.seen - n), 9) AS weight, witnesses, one FROM pr JOIN good x ON x.topic = a JOIN good y ON y.topic = b WHERE n >= 3 AND n / (x.seen + y.seen - n) >= 0.001), t AS (SELECT * FROM w UNION ALL SELECT b, a, weight, witnesses, one FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS rk FROM t) SELECT r.one AS person, r.a, r.b, round(r.weight, 6) AS weight FROM r JOIN r k ON k.a = r.b AND k.b = r.a WHERE r.witnesses = 1 AND r.a < r.b AND r.rk <= 3 AND k.rk <= 3""")
 def sole_spans(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "fakeapi").where("components is not null and assignee_email is not null")
-    w = w.select(F.col("issue_key").alias("unit"), F.explode(F.split("components", r"[;,|]\s*")).alias("topic"), F.col("assignee_email").alias("who"))
-    return ties.sole_spans(ties.weigh(ties.cooccurrence(w), w))
+    """Connections of services and personal queues that one assignee alone makes."""
+    i = table(spark, d, "pd_incidents").where("service_name is not null and assignee_email is not null")
+    topics = F.explode(F.array(F.upper(F.substring_index("assignee_email", "@", 1)), F.lower("service_name")))
+    w = i.select(F.col("row_id").alias("unit"), topics.alias("topic"), F.col("assignee_email").alias("who"))
+    return ties.sole_spans(ties.weigh(ties.cooccurrence(w), w)).select("person", "a", "b", r6("weight"))
 
 
 @query("""WITH m AS (SELECT DISTINCT place AS grp, author_email AS person FROM documents WHERE place IS NOT NULL AND author_email IS NOT NULL), f AS (SELECT min(person) AS p FROM m), z AS (SELECT grp, count(*) AS size FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200),

@@ -16,38 +16,48 @@ from knowgrid.session import materialise, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CAPACITY = 2_048
-#: Rounds of multiplicative weights for one program, and step of a round.
-ROUNDS, STEP = 40, 0.15
+#: Share of a length's count that one step of multiplicative weights covers at most, and by how much less than the
+#: best one a configuration may be worth.
+STEP, SLACK = 0.15, 0.15
 #: Programs solved one after the other, each on what the one before left.
-PROGRAMS = 2
-#: Items left at which the rest is packed one by one (best fit, longest first).
-LAST_ITEMS = 4_000
+PROGRAMS = 3
 #: Items that one ranking bucket should hold.
 BUCKET_ITEMS = 100_000
 
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index -> copies of the most valuable filling of one container: unbounded knapsack by dynamic programming,
-    cut to the copies there are and topped up with whatever still fits."""
+def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most value in every room up to ``capacity``, and the index to put in first there (-1: leave one unit empty)."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, np.int64)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
+        n = ends[c]
         best[c] = best[c - 1]
         if n:
             got = best[c - lengths[:n]] + value[:n]
             k = int(got.argmax())
             if got[k] > best[c] + 1e-15:
                 best[c], pick[c] = got[k], k
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        k = int(pick[c])
+    return best, pick
+
+
+def read_configuration(lengths: np.ndarray, pick: np.ndarray, room: int, first: int | None = None) -> dict[int, int]:
+    """Index -> copies of the best filling of ``room``, after one copy of ``first``."""
+    out = {} if first is None else {first: 1}
+    while room > 0:
+        k = int(pick[room])
         if k < 0:
-            c -= 1
+            room -= 1
             continue
         out[k] = out.get(k, 0) + 1
-        c -= int(lengths[k])
+        room -= int(lengths[k])
+    return out
+
+
+def best_configuration(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """Index -> copies of the most valuable filling of one container: unbounded knapsack by dynamic programming,
+    cut to the copies there are and topped up with whatever still fits."""
+    out = read_configuration(lengths, knapsack(lengths, value, capacity)[1], capacity)
     out = {k: min(n, int(most[k])) for k, n in out.items() if most[k] > 0}
     room = capacity - sum(int(lengths[k]) * n for k, n in out.items())
     for k in range(len(lengths) - 1, -1, -1):
@@ -59,28 +69,35 @@ def best_configuration(lengths: np.ndarray, value: np.ndarray, most: np.ndarray,
     return out
 
 
-def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Configurations with (fractional) numbers of containers that cover each length's count about evenly.
+def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float = STEP, slack: float = SLACK) -> list[tuple[dict[int, int], float]]:
+    """Configurations with (fractional) numbers of containers that together cover every length's count.
 
-    A weight per length falls as the length gets covered; each round prices the configuration of most weight per
-    container and takes as much of it as covers no length by more than ``step`` of its count.
+    A weight per length falls as the length gets covered. One knapsack prices, for every length, the best
+    configuration that holds it; those within ``slack`` of the best one, also after what the round has taken already,
+    are taken, each as often as covers no length by more than ``step`` of its count. Rounds go on until every
+    length is covered; how many that takes depends on the lengths, not on the number of items.
     """
     covered = np.zeros(len(lengths))
     taken: dict[tuple, float] = {}
     price = lengths / capacity
-    for _ in range(rounds):
-        weight = np.exp(-covered / step * 0.5)
-        weight /= weight.max()
-        conf = best_configuration(lengths, weight * price, counts, capacity)
-        if not conf:
-            break
-        amount = min(step * counts[k] / n for k, n in conf.items())
-        key = tuple(sorted(conf.items()))
-        taken[key] = taken.get(key, 0.0) + amount
-        for k, n in conf.items():
-            covered[k] += amount * n / counts[k]
-    scale = max(covered.min(), 1e-9)
-    scale = max(scale, np.quantile(covered, 0.5) * 0.5)
+    while (least := covered.min()) < 1:
+        value = np.exp((least - covered) / step * 0.5) * price
+        best, pick = knapsack(lengths, value, capacity)
+        through = value + best[capacity - lengths]
+        enough = (1 - slack) * best[capacity]
+        good = np.argsort(covered, kind="stable")
+        for i, k in enumerate([int(through.argmax()), *good[through[good] >= enough].tolist()]):
+            conf = read_configuration(lengths, pick, capacity - int(lengths[k]), k)
+            ks = np.fromiter(conf, np.int64)
+            ns = np.minimum(np.fromiter(conf.values(), float), counts[ks])
+            # The first one is the best; after it the weights have changed.
+            if i and (np.exp((least - covered[ks]) / step * 0.5) * price[ks]) @ ns < enough:
+                continue
+            amount = float((step * counts[ks] / ns).min())
+            key = tuple(sorted(zip(ks.tolist(), ns.astype(int).tolist())))
+            taken[key] = taken.get(key, 0.0) + amount
+            covered[ks] += amount * ns / counts[ks]
+    scale = covered.min()
     return [(dict(k), x / scale) for k, x in taken.items()]
 
 
@@ -112,14 +129,14 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 def round_program(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) -> list[tuple[dict[int, int], int]]:
     """Configurations with whole numbers of containers, that use every item exactly once.
 
-    The program's solution is rounded up while the items last, what is left gives a smaller program; the last
-    items are packed one by one. The work depends on the number of lengths, not of items.
+    The program's solution is rounded up while the items last, what is left gives a smaller program; what
+    the last one leaves is packed one by one. The work depends on the number of lengths, not of items.
     """
     left, plan = dict(histogram), []
     # Fillings with more unused room than this are left to the end.
     tight = capacity // 100
     for _ in range(programs):
-        if sum(left.values()) <= LAST_ITEMS:
+        if not left:
             break
         lengths = np.array(sorted(left))
         counts = np.array([left[x] for x in lengths.tolist()], float)

@@ -31,6 +31,28 @@ def test_configurations_beat_best_fit_where_lengths_are_few():
     assert count(K.plan_containers(h, 2048)) < count(K.best_fit(h, 2048))
 
 
+def test_program_covers_every_length():
+    import numpy as np
+
+    rng = random.Random(7)
+    lengths = np.array(sorted(rng.sample(range(1, 1025), 300)))
+    counts = np.array([float(rng.randrange(1, 40)) for _ in lengths])
+    got = K.solve_program(lengths, counts, 1024)
+    cover = np.zeros(len(lengths))
+    for conf, x in got:
+        assert sum(int(lengths[k]) * n for k, n in conf.items()) <= 1024
+        for k, n in conf.items():
+            cover[k] += x * n
+    assert (cover >= counts * (1 - 1e-9)).all()
+    assert sum(x for _, x in got) <= 1.5 * float(lengths @ counts) / 1024
+
+
+def test_few_items_are_packed_by_the_program_too():
+    h = {1025: 100, 1000: 100, 700: 100, 690: 100, 658: 100, 400: 100}
+    count = lambda p: sum(n for _, n in p)
+    assert count(K.round_program(h, 2048)) < count(K.best_fit(h, 2048))
+
+
 def test_pricing_is_the_best_knapsack():
     import numpy as np
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowgrid.session import materialise
+
 #: How fast repeated weight saturates, how much a long profile is discounted, and the bounds of both.
 K1, B, TERM_CAP, NORM_CAP = 1.2, 0.75, 4.0, 1.75
 #: Evidence by field, and the window in which it re-ranks.
@@ -55,6 +57,23 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def rank_all(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """Every row with its rank by ``value``, largest first, then by ``tie`` (a key of the rows).
+
+    No task sees all rows: they are cut into ranges in the order of the ranking, ranked within each, and moved by
+    the counts of the ranges before. Of these there are as many as the session has shuffle partitions. Rows without
+    a value come last.
+    """
+    order = (F.desc(value), F.col(tie))
+    # Written once: cuts of the ranges are sampled, and another reading might cut elsewhere.
+    cut = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = cut.withColumn("_k", within).join(F.broadcast(before), ["_range"])
+    return ranked.withColumn("rank", F.col("_k") + F.col("_o")).drop("_range", "_k", "_o")
+
+
 def rerank(scored: DataFrame, evidence: DataFrame, window: int = RERANK_WINDOW) -> DataFrame:
     """The best ``window`` entities, boosted by their strongest field (0.4 + 0.9 evidence) and ranked again.
 

@@ -193,9 +193,9 @@ UNION ALL SELECT 'orders', o_custkey, row_number() OVER (ORDER BY n DESC, o_cust
 
 
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings' pools of 200: fusion is over pools, not over whole tables."""
-    bal = search.top(table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), "c_acctbal"), 200, F.desc("c_acctbal"), F.col("entity"))
-    n = search.top(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n")), 200, F.desc("n"), F.col("entity"))
+    """Two rankings of whole tables."""
+    bal = search.rank_all(table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), "c_acctbal"), "c_acctbal", "entity")
+    n = search.rank_all(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n")), "n", "entity")
     return bal.select(F.lit("balance").alias("list"), "entity", "rank").unionByName(n.select(F.lit("orders").alias("list"), "entity", "rank"))
 
 

@@ -69,6 +69,15 @@ def pass_initial_surname(handles: DataFrame, people: DataFrame, common: tuple[st
     return _unique(h.join(keys, ["k"]).select("handle", F.col("id").alias("target")), 0.75, "initial and surname")
 
 
+def pass_email_variant(people: DataFrame, least: int = 3) -> DataFrame:
+    """Addresses whose mailbox without dots is the full name of two words or more, and the same one."""
+    mail, name = people.where(F.col("email").isNotNull() & ~is_role_mailbox(F.col("email"))), F.trim("name")
+    k = F.regexp_replace(F.substring_index(F.lower("email"), "@", 1), r"\.", "")
+    p = mail.where(name.contains(" ")).select("id", k.alias("k"), flatten(F.col("name")).alias("n")).where((F.col("k") == F.col("n")) & (F.length("k") >= least))
+    first = p.groupBy("k").agg(F.min("id").alias("canonical"))
+    return p.join(first, ["k"]).where("id <> canonical").select(F.col("id").alias("alias"), "canonical", F.lit(0.85).alias("confidence"), F.lit("matching email variant").alias("reason")).distinct()
+
+
 def pass_same_local(people: DataFrame, shared: DataFrame, least_shared: int = 3, least: int = 5) -> DataFrame:
     """The same mailbox at two domains, exactly two people, who share three topics or more (``a, b, shared``)."""
     p = people.where("email is not null").where(~is_role_mailbox(F.col("email"))).select("id", F.substring_index("email", "@", 1).alias("k")).where(F.length("k") >= least)
@@ -84,7 +93,8 @@ def aliases(edges: DataFrame) -> DataFrame:
 
 
 def infer(people: DataFrame) -> DataFrame:
-    """The ledger of inferred joins: each pass sees only the handles that those before it left.
+    """The ledger of inferred joins by passes 1-5 of ten: each of the first four sees only the handles that those
+    before it left, the fifth joins addresses. Ambiguous handles stay apart; passes 6-10 are not run.
 
     Every pass is one set query over the state the previous pass left, so its outcome doesn't depend on order.
     ``people`` is ``id, name, email``; handles are ids such as ``chat:jdoe``.
@@ -95,7 +105,7 @@ def infer(people: DataFrame) -> DataFrame:
         found = step(handles, known)
         ledger = found if ledger is None else ledger.unionByName(found)
         handles = handles.join(found.select(F.col("alias").alias("id")), ["id"], "left_anti")
-    return ledger
+    return ledger.unionByName(pass_email_variant(known))
 
 
 def resolve(rows: DataFrame, alias: DataFrame, column: str) -> DataFrame:

@@ -61,7 +61,7 @@ def identity_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def identity_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """All passes in sequence: each sees the handles that those before it left."""
+    """Passes 1-5 in sequence (of ten, see the README): handles that those before it left, then address variants."""
     return identity.infer(_people(spark, d).unionByName(_handles(spark, d).select("id", F.col("id").alias("name"), F.lit(None).cast("string").alias("email"))))
 
 

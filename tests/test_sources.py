@@ -86,6 +86,12 @@ def test_identity_passes_and_representatives(spark):
     assert {tuple(r) for r in identity.explicit_edges(ids).collect()} == {("a", "git:a"), ("b", "b@a.example")}
 
 
+def test_addresses_of_one_person_are_joined(spark):
+    rows = [("ann.doe@a.example", "Ann Doe"), ("anndoe@b.example", "ann doe"), ("ann.doe@c.example", "Ann Dowell"), ("mike@a.example", "Mike"), ("mike@b.example", "Mike")]
+    people = spark.createDataFrame([(a, n, a) for a, n in rows], "id string, name string, email string")
+    assert [tuple(r) for r in identity.infer(people).collect()] == [("anndoe@b.example", "ann.doe@a.example", 0.85, "matching email variant")]
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 00:20:00"), (2, 7, "2024-01-01 00:20:00"), (3, 7, "2024-01-01 02:00:00"), (4, 8, "2024-01-02 00:00:00"), (5, 9, "2024-01-09 00:00:00")]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))

@@ -160,16 +160,20 @@ class LeakFinder:
                 if group and (shift is None or shift - group[0][0] > BAND):
                     # Passages of one item may lie far apart in a document; each has a shift of its own.
                     if len({x for _, x in group}) >= LEAST_SEEDS:
-                        best = max(best, aligned_run(item, words, group[len(group) // 2][0], self.weight[i]))
+                        # A longer run that is too weak must not hide one that counts.
+                        best = max(best, aligned_run(item, words, group[len(group) // 2][0], self.weight[i]), key=lambda r: (self.counts(*r), r))
                     group = [] if shift is None else [x for x in group if shift - x[0] <= BAND]
                 group.append((shift, k))
             if best[0]:
                 out.append((i, *best))
         return out
 
+    def counts(self, span: int, met: float) -> bool:
+        return span >= self.leak_words - self.slack and met >= LEAST_MET
+
     def leaks(self, text: str | None) -> list[tuple[int, int, float]]:
         """The items leaked: a span of ``leak_words`` (less ``slack``, for edits at its ends) with most of its weight met."""
-        return [x for x in self.spans(text) if x[1] >= self.leak_words - self.slack and x[2] >= LEAST_MET]
+        return [x for x in self.spans(text) if self.counts(*x[1:])]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:

@@ -34,6 +34,13 @@ def test_leaks_through_typography_and_edits():
     assert found(" ".join(w) + FILL + OTHER) == {1, 2}
 
 
+def test_a_longer_weak_run_hides_no_leak():
+    w = ITEM.split()
+    weak = ["zzz" if i in (5, 7, 10, 12, 13, 17, 19, 22) else x for i, x in enumerate(w)]
+    assert found(" ".join(weak)) == set()
+    assert found(" ".join(weak) + " " + FILL * 4 + " ".join(w[2:17])) == {1}
+
+
 def test_short_echoes_and_strangers_do_not_count():
     w = ITEM.split()
     assert found(FILL + " ".join(w[3:10]) + " ...") == set()

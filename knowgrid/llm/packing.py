@@ -18,87 +18,95 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CAPACITY = 2_048
 #: Share of a length's count that one step of multiplicative weights covers at most, and by how much less than the
 #: best one a configuration may be worth.
-STEP, SLACK = 0.15, 0.15
-#: Programs solved one after the other, each on what the one before left.
-PROGRAMS = 3
+STEP, SLACK = 0.5, 0.3
+#: Unused share of a container that the first rounding accepts (doubled from one program to the next), and the share of
+#: the whole volume below which what is left counts as the rounding's remainder.
+TIGHT, REST = 0.005, 0.01
 #: Items that one ranking bucket should hold.
 BUCKET_ITEMS = 100_000
 
 
-def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Most value in every room up to ``capacity``, and the index to put in first there (-1: leave one unit empty)."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, np.int64)
-    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
-    for c in range(1, capacity + 1):
-        n = ends[c]
-        best[c] = best[c - 1]
-        if n:
-            got = best[c - lengths[:n]] + value[:n]
-            k = int(got.argmax())
-            if got[k] > best[c] + 1e-15:
-                best[c], pick[c] = got[k], k
-    return best, pick
-
-
-def read_configuration(lengths: np.ndarray, pick: np.ndarray, room: int, first: int | None = None) -> dict[int, int]:
-    """Index -> copies of the best filling of ``room``, after one copy of ``first``."""
-    out = {} if first is None else {first: 1}
-    while room > 0:
-        k = int(pick[room])
-        if k < 0:
-            room -= 1
-            continue
-        out[k] = out.get(k, 0) + 1
-        room -= int(lengths[k])
-    return out
+class Pricing:
+    """Bounded knapsack over the lengths: no configuration asks for more copies than there are.
 
+    Copies are grouped in powers of two, so that a length of any count is a few yes-or-no decisions.
+    """
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index -> copies of the most valuable filling of one container: unbounded knapsack by dynamic programming,
-    cut to the copies there are and topped up with whatever still fits."""
-    out = read_configuration(lengths, knapsack(lengths, value, capacity)[1], capacity)
-    out = {k: min(n, int(most[k])) for k, n in out.items() if most[k] > 0}
-    room = capacity - sum(int(lengths[k]) * n for k, n in out.items())
-    for k in range(len(lengths) - 1, -1, -1):
-        if lengths[k] <= room:
-            more = min(room // int(lengths[k]), int(most[k]) - out.get(k, 0))
-            if more > 0:
-                out[k] = out.get(k, 0) + more
-                room -= more * int(lengths[k])
-    return out
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.capacity = capacity
+        self.kind, self.copies = [], []
+        for k, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist())):
+            n, group = min(int(count), capacity // length), 1
+            while n > 0:
+                self.kind.append(k)
+                self.copies.append(min(group, n))
+                n, group = n - group, 2 * group
+        self.size = (lengths[self.kind] * np.array(self.copies)).tolist()
+
+    def solve(self, value: np.ndarray) -> np.ndarray:
+        """The most value in every room up to the capacity, by dynamic programming over rooms."""
+        best = np.zeros(self.capacity + 1)
+        keep = np.zeros((len(self.size), self.capacity + 1), bool)
+        for i, (size, v) in enumerate(zip(self.size, (value[self.kind] * self.copies).tolist())):
+            with_it, without = best[: self.capacity + 1 - size] + v, best[size:]
+            np.greater(with_it, without, out=keep[i, size:])
+            np.maximum(with_it, without, out=without)
+        self.keep = np.ascontiguousarray(keep.T)
+        return best
+
+    def read(self, room: int, first: int | None = None) -> dict[int, int]:
+        """Index -> copies of the best filling of ``room``, after one copy of ``first``."""
+        out, end = {} if first is None else {first: 1}, len(self.size)
+        while room > 0 and end > 0:
+            taken = self.keep[room, :end]
+            back = int(taken[::-1].argmax())
+            end -= 1 + back
+            if not taken[end]:
+                break
+            k = self.kind[end]
+            out[k] = out.get(k, 0) + self.copies[end]
+            room -= self.size[end]
+        return out
 
 
 def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float = STEP, slack: float = SLACK) -> list[tuple[dict[int, int], float]]:
     """Configurations with (fractional) numbers of containers that together cover every length's count.
 
-    A weight per length falls as the length gets covered. One knapsack prices, for every length, the best
-    configuration that holds it; those within ``slack`` of the best one, also after what the round has taken already,
-    are taken, each as often as covers no length by more than ``step`` of its count. Rounds go on until every
-    length is covered; how many that takes depends on the lengths, not on the number of items.
+    A weight per length falls as the length gets covered. One knapsack prices the best configuration and, for
+    every length, the best one that holds it; those within ``slack`` of the best, also after what the round has
+    taken already, are taken, each as often as covers no length by more than ``step`` of its count. Rounds go on
+    until every length is covered; how many that takes depends on the lengths, not on the number of items. What
+    is covered more than once is cut back then, configurations of few lengths first, which others make up for.
     """
-    covered = np.zeros(len(lengths))
+    covered, price = np.zeros(len(lengths)), lengths / capacity
     taken: dict[tuple, float] = {}
-    price = lengths / capacity
+    pricing = Pricing(lengths, counts, capacity)
     while (least := covered.min()) < 1:
         value = np.exp((least - covered) / step * 0.5) * price
-        best, pick = knapsack(lengths, value, capacity)
+        best = pricing.solve(value)
         through = value + best[capacity - lengths]
         enough = (1 - slack) * best[capacity]
-        good = np.argsort(covered, kind="stable")
-        for i, k in enumerate([int(through.argmax()), *good[through[good] >= enough].tolist()]):
-            conf = read_configuration(lengths, pick, capacity - int(lengths[k]), k)
+        behind = np.argsort(covered, kind="stable")
+        for k in [None, *behind[through[behind] >= enough].tolist()]:
+            conf = pricing.read(capacity) if k is None else pricing.read(capacity - int(lengths[k]), k)
             ks = np.fromiter(conf, np.int64)
             ns = np.minimum(np.fromiter(conf.values(), float), counts[ks])
             # The first one is the best; after it the weights have changed.
-            if i and (np.exp((least - covered[ks]) / step * 0.5) * price[ks]) @ ns < enough:
+            if k is not None and (np.exp((least - covered[ks]) / step * 0.5) * price[ks]) @ ns < enough:
                 continue
             amount = float((step * counts[ks] / ns).min())
             key = tuple(sorted(zip(ks.tolist(), ns.astype(int).tolist())))
             taken[key] = taken.get(key, 0.0) + amount
             covered[ks] += amount * ns / counts[ks]
-    scale = covered.min()
-    return [(dict(k), x / scale) for k, x in taken.items()]
+    out = []
+    spare = covered * counts - counts
+    for conf, x in sorted(taken.items(), key=lambda p: (len(p[0]), p[0])):
+        ks, ns = np.array(conf).T
+        cut = min(x, max(0.0, float((spare[ks] / ns).min())))
+        spare[ks] -= cut * ns
+        if x - cut > 1e-12:
+            out.append((dict(conf), x - cut))
+    return out
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -126,51 +134,49 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [c for group in open_.values() for c in group]
 
 
-def round_program(histogram: dict[int, int], capacity: int, programs: int = PROGRAMS) -> list[tuple[dict[int, int], int]]:
-    """Configurations with whole numbers of containers, that use every item exactly once.
+def round_program(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Configurations with whole numbers of containers, and the items that are left.
 
-    The program's solution is rounded up while the items last, what is left gives a smaller program; what
-    the last one leaves is packed one by one. The work depends on the number of lengths, not of items.
+    The program's solution is rounded up, its largest numbers first, while the items last; what is left gives a
+    smaller program, whose rounding accepts more unused room, until less than ``REST`` of the volume is left.
+    The work depends on the number of lengths, not of items.
     """
-    left, plan = dict(histogram), []
-    # Fillings with more unused room than this are left to the end.
-    tight = capacity // 100
-    for _ in range(programs):
-        if not left:
-            break
+    left, plan, tight = {length: n for length, n in histogram.items() if n > 0}, [], TIGHT
+    volume = lambda h: sum(length * n for length, n in h.items())
+    rest = REST * volume(left)
+    while volume(left) > rest:
         lengths = np.array(sorted(left))
         counts = np.array([left[x] for x in lengths.tolist()], float)
         for conf, x in sorted(solve_program(lengths, counts, capacity), key=lambda p: -p[1]):
             n = min(int(math.ceil(x)), *(left.get(int(lengths[k]), 0) // m for k, m in conf.items()))
-            if n > 0 and capacity - sum(int(lengths[k]) * m for k, m in conf.items()) <= tight:
+            if n > 0 and capacity - sum(int(lengths[k]) * m for k, m in conf.items()) <= tight * capacity:
                 plan.append(({int(lengths[k]): m for k, m in conf.items()}, n))
                 for k, m in conf.items():
                     left[int(lengths[k])] -= n * m
         left = {length: n for length, n in left.items() if n > 0}
-        tight *= 4
-    return plan + best_fit(left, capacity)
+        tight *= 2
+    return plan, left
 
 
-def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(length -> copies, number of containers) of the better of two roundings of the program: that of its priced
-    configurations, and best fit, which rounds the solution of all weights alike. Where lengths are many and smooth
-    the second leaves next to nothing unused; where they are few, only configurations meet the bound.
-    """
-    histogram = {length: n for length, n in histogram.items() if n > 0}
-    if not histogram:
-        return []
-    plans = [round_program(histogram, capacity), best_fit(histogram, capacity)]
-    return min(plans, key=lambda p: sum(n for _, n in p))
+def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """(length -> copies, number of containers) of the rounded program, and of its remainder, packed by best fit."""
+    plan, left = round_program(histogram, capacity)
+    return plan, best_fit(left, capacity)
 
 
 def count_tokens(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``key, n_tokens`` of every text, whole, in the vocabulary of the tokenizer file (at the same path on every node)."""
+    """``key, n_tokens`` of every text, whole, in the vocabulary of the tokenizer file.
+
+    The file is read where the driver runs and sent to the executors; a vocabulary has a few MB, whatever the data.
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
+        tok = Tokenizer.from_str(vocabulary.value)
         tok.encode_special_tokens = True
         for b in batches:
             texts, n = b.column(1).to_pylist(), []
@@ -183,7 +189,7 @@ def count_tokens(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZE
 
 
 def pack(sized: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """``key, piece_no, token_from, n_tokens, container_id`` of every document (``key, n_tokens``).
+    """``key, piece_no, token_from, n_tokens, container_id, by_program`` of every document (``key, n_tokens``).
 
     Only a document longer than a container is cut, into full containers and a rest. Containers hold at most
     ``capacity`` tokens. Documents without tokens take no room and get no row. The driver sees the histogram of at
@@ -198,12 +204,12 @@ def pack(sized: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         key, "piece_no", ((F.col("piece_no") - 1) * capacity).cast("long").alias("token_from"), F.least(F.lit(capacity), F.col("n_tokens") - (F.col("piece_no") - 1) * capacity).cast("int").alias("length")
     )
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan = plan_containers(histogram, capacity)
+    plan, rest = plan_containers(histogram, capacity)
     ranges, start, base = [], {}, 0
-    for conf, n in plan:
+    for no, (conf, n) in enumerate(plan + rest):
         for length, m in conf.items():
             at = start.get(length, 0)
-            ranges.append((length, at, at + n * m, base, m))
+            ranges.append((length, at, at + n * m, base, m, no < len(plan)))
             start[length] = at + n * m
         base += n
     buckets = int(min(4096, max(16, sum(histogram.values()) // BUCKET_ITEMS)))
@@ -214,6 +220,6 @@ def pack(sized: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     ranked = ranked.join(before, ["length", "_b"]).withColumn("_k", F.col("_k") + F.col("_o"))
     spark = sized.sparkSession
     # Rows: configurations times the lengths in one; both are bounded by the capacity, not by the data.
-    table = spark.createDataFrame(ranges, "length int, _from long, _to long, _base long, _m long")
+    table = spark.createDataFrame(ranges, "length int, _from long, _to long, _base long, _m long, by_program boolean")
     hit = ranked.join(F.broadcast(table), ["length"]).where("_k >= _from and _k < _to")
-    return hit.select(key, "piece_no", "token_from", F.col("length").alias("n_tokens"), (F.col("_base") + F.floor((F.col("_k") - F.col("_from")) / F.col("_m"))).cast("long").alias("container_id"))
+    return hit.select(key, "piece_no", "token_from", F.col("length").alias("n_tokens"), (F.col("_base") + F.floor((F.col("_k") - F.col("_from")) / F.col("_m"))).cast("long").alias("container_id"), "by_program")

@@ -62,14 +62,15 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.count_tokens(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.pack(packing.count_tokens(table(spark, d, "documents"), "doc_id", "text")).drop("by_program")
 
 
 def p8_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, their tokens, the fewest possible by volume, and the share of unused space."""
-    packed = p8_packing(spark, d)
-    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    out = full.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"), F.sum("n").alias("n_pieces"))
+    """Containers, their tokens, the fewest possible by volume, the share of unused space, and of pieces that the
+    program placed rather than the packing of its remainder."""
+    packed = packing.pack(packing.count_tokens(table(spark, d, "documents"), "doc_id", "text"))
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.count_if("by_program").alias("p"))
+    out = full.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"), F.sum("n").alias("n_pieces"), F.round(F.sum("p") / F.sum("n"), 4).alias("by_program"))
     bound = F.ceil(F.col("n_tokens") / packing.CAPACITY)
     return out.withColumn("least_containers", bound).withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * packing.CAPACITY), 6))
 

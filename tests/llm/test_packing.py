@@ -9,7 +9,10 @@ from knowgrid.llm import packing as K
 def test_plan_uses_every_item_once(seed):
     rng = random.Random(seed)
     h = {length: rng.randrange(1, 4000) for length in rng.sample(range(1, 201), 30)}
-    plan = K.plan_containers(h, 200)
+    plan, rest = K.plan_containers(h, 200)
+    items = lambda p: sum(n * m for conf, n in p for m in conf.values())
+    assert items(plan) >= 0.9 * sum(h.values())
+    plan = plan + rest
     used = {}
     for conf, n in plan:
         assert sum(a * b for a, b in conf.items()) <= 200
@@ -25,10 +28,32 @@ def test_plan_uses_every_item_once(seed):
     assert sum(n for _, n in plan) <= 1.06 * least + 5
 
 
-def test_configurations_beat_best_fit_where_lengths_are_few():
-    h = {1025: 8000, 1000: 8000, 700: 8000, 690: 8000, 658: 8000, 400: 8000}
-    count = lambda p: sum(n for _, n in p)
-    assert count(K.plan_containers(h, 2048)) < count(K.best_fit(h, 2048))
+def _count(h):
+    plan, rest = K.plan_containers(h, 2048)
+    return sum(n for _, n in plan + rest)
+
+
+@pytest.mark.parametrize("n", [100, 8000, 8_000_000])
+def test_configurations_beat_best_fit_where_lengths_are_few(n):
+    h = {1025: n, 1000: n, 700: n, 690: n, 658: n, 400: n}
+    assert _count(h) < sum(k for _, k in K.best_fit(h, 2048))
+
+
+def test_many_lengths_of_few_items_meet_the_bound():
+    rng = random.Random(3)
+    h = {}
+    for _ in range(1500):
+        length = min(2048, int(rng.lognormvariate(5, 0.9)) + 1)
+        h[length] = h.get(length, 0) + 1
+    plan, rest = K.plan_containers(h, 2048)
+    bound = -(-sum(a * b for a, b in h.items()) // 2048)
+    assert sum(n for _, n in plan + rest) <= 1.01 * bound + 1
+    assert sum(n * m for conf, n in plan for m in conf.values()) >= 0.9 * 1500
+
+
+def test_no_items_need_no_containers():
+    assert K.plan_containers({}, 2048) == ([], [])
+    assert K.plan_containers({2048: 3}, 2048) == ([({2048: 1}, 3)], [])
 
 
 def test_program_covers_every_length():
@@ -47,18 +72,23 @@ def test_program_covers_every_length():
     assert sum(x for _, x in got) <= 1.5 * float(lengths @ counts) / 1024
 
 
-def test_few_items_are_packed_by_the_program_too():
-    h = {1025: 100, 1000: 100, 700: 100, 690: 100, 658: 100, 400: 100}
-    count = lambda p: sum(n for _, n in p)
-    assert count(K.round_program(h, 2048)) < count(K.best_fit(h, 2048))
-
+def test_pricing_is_the_best_bounded_knapsack():
+    import itertools
 
-def test_pricing_is_the_best_knapsack():
     import numpy as np
 
-    lengths, value = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.1])
-    conf = K.best_configuration(lengths, value, np.array([9, 9, 9]), 11)
-    assert conf == {0: 2, 1: 1}
+    rng = random.Random(1)
+    for _ in range(30):
+        lengths = np.array(sorted(rng.sample(range(1, 15), 4)))
+        counts = np.array([float(rng.randrange(1, 5)) for _ in lengths])
+        value = np.array([rng.random() for _ in lengths])
+        pricing = K.Pricing(lengths, counts, 30)
+        best = pricing.solve(value)
+        conf = pricing.read(30)
+        assert sum(int(lengths[k]) * n for k, n in conf.items()) <= 30 and all(n <= counts[k] for k, n in conf.items())
+        ways = itertools.product(*(range(int(c) + 1) for c in counts))
+        want = max(value @ w for w in map(np.array, ways) if lengths @ w <= 30)
+        assert abs(best[30] - want) < 1e-9 and abs(sum(value[k] * n for k, n in conf.items()) - want) < 1e-9
 
 
 def test_table(spark):

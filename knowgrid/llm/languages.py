@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,16 +36,24 @@ FIT_CHARS = 3_000
 SWITCH_WORD, SWITCH_SENTENCE = 14.0, 5.0
 #: Most that one word may speak against a language.
 CLIP = 4.0
+#: Words times texts that go through Viterbi together, at most, unless one text alone has more.
+PATH_CELLS = 100_000
+#: Distinct words whose scores are kept from one batch of texts to the next.
+CACHE_WORDS = 200_000
 #: Words of prose that a document, and a stretch, needs.
 LEAST_WORDS = 3
 
-_URL = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
+_URL = re.compile(r"(?:https?://|www\.)\S+|(?<!\S)\S+@\S+\.\S+")
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _SQL = re.compile(r"\b(?:select|insert\s+into|update|delete\s+from|create\s+table)\b[^;\n]*;", re.I)
 _LOG = re.compile(r"\b(?:ERR|WARN|INFO|DEBUG|ERROR|TRACE|FATAL)\b[^\n]*?(?:\brc=\S+|(?=\n)|\Z)|\bcommit\s+[0-9a-f]{7,}\b|\b0x[0-9a-f]+(?:\s+\d+)*", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+|\n+|(?<=[a-zà-ÿа-яё])\s+(?=[¿¡])")
-_TOKEN = re.compile(r"\S+")
-_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LOG_SIGNS = ("err", "warn", "info", "debug", "trace", "fatal", "commit", "0x")
+_SENTENCE = re.compile(r"[.!?…][\"')\]»”]*\s+")
+_OPENING = re.compile(r"(?<=[a-zà-ÿа-яё])\s+(?=[¿¡])")
+#: Stands between two sentences.
+_STOP = "\x00"
+_NO_WORD = re.compile(r"[\d_=\\{}<>$@/⁰¹²³⁴-⁹₀-₉]")
+_WORDS = re.compile(_STOP + r"|[^\W\d_]+(?:'[^\W\d_]+)*")
 
 
 def label_code(label: str | None) -> str | None:
@@ -55,21 +64,68 @@ def label_code(label: str | None) -> str | None:
     return _OF.get(low) or _OF.get(low.split("-")[0]) or ""
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Lower-case words of each sentence; code, logs, links, keys and numbers are left out."""
+def marked_words(text: str | None) -> list[str]:
+    """Lower-case words of a text with a mark between sentences; code, logs, links, keys and numbers are left out."""
     if not text or not text.strip():
         return []
-    text = _LOG.sub("\n", _SQL.sub("\n", _URL.sub(" ", _CODE.sub(" ", unmarked(text)))))
-    out = []
-    for s in _SENTENCE.split(text):
-        words = []
-        for t in _TOKEN.findall(s or ""):
-            if any(c.isdigit() or c in "_=\\{}<>$@/" for c in t):
-                continue
-            words += [w.lower().replace("’", "'") for w in _LETTERS.findall(t)]
-        if words:
-            out.append(words)
-    return out
+    text = unmarked(text.replace(_STOP, " "))
+    text = _CODE.sub(" ", text) if "`" in text else text
+    text = _URL.sub(" ", text) if "@" in text or "http" in text or "www." in text else text
+    text = _SQL.sub("\n", text) if ";" in text else text
+    low = text.lower()
+    text = _LOG.sub("\n", text) if any(sign in low for sign in _LOG_SIGNS) else text
+    text = _OPENING.sub(f" {_STOP} ", text) if "¿" in text or "¡" in text else text
+    text = _SENTENCE.sub(f" {_STOP} ", text).replace("\n", f" {_STOP} ")
+    if _NO_WORD.search(text):
+        no_word = _NO_WORD.search
+        text = " ".join([t for t in text.split() if not no_word(t)])
+    return _WORDS.findall(text.lower().replace("’", "'"))
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence."""
+    out: list[list[str]] = [[]]
+    for w in marked_words(text):
+        if w != _STOP:
+            out[-1].append(w)
+        elif out[-1]:
+            out.append([])
+    return [u for u in out if u]
+
+
+def best_paths(scores: np.ndarray, stops: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The language of every word by Viterbi, for many texts at once: text ``i`` has the rows ``at[i]`` to ``at[i + 1]``
+    of ``scores`` (words by languages); ``stops`` marks words that begin a sentence.
+
+    Texts of like length go through together, one step for a word of each, so no step is a loop over languages or texts.
+    """
+    path, sizes = np.zeros(len(scores), np.int8), np.diff(at)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    begin = 0
+    while begin < len(order):
+        longest = int(sizes[order[begin]])
+        docs = order[begin : begin + max(1, PATH_CELLS // longest)]
+        begin += len(docs)
+        first, n = at[docs], sizes[docs]
+        live = np.searchsorted(-n, -np.arange(longest), "left")  # texts are sorted, the longest first
+        v = scores[first].copy()
+        back = np.zeros((longest, len(docs), scores.shape[1]), np.int8)
+        for t in range(1, longest):
+            k = live[t]
+            rows = first[:k] + t
+            old = v[:k]
+            top = old.argmax(1)
+            jump = old[np.arange(k), top] - np.where(stops[rows], SWITCH_SENTENCE, SWITCH_WORD)
+            stay = old >= jump[:, None]
+            back[t, :k] = np.where(stay, np.arange(old.shape[1]), top[:, None])
+            v[:k] = np.where(stay, old, jump[:, None]) + scores[rows]
+        now = v.argmax(1)
+        for t in range(longest - 1, -1, -1):
+            k = live[t]
+            path[first[:k] + t] = now[:k]
+            now[:k] = back[t, np.arange(k), now[:k]]
+    return path
 
 
 class Model:
@@ -97,7 +153,8 @@ class Model:
             for c in self.codes:
                 seen.update(per[c])
             self.grams.update({g: self._relative([math.log((per[c][g] + 0.5) / (whole[c] + 0.5 * len(seen))) for c in self.codes]) for g, k in seen.items() if k >= 2})
-        self.cache: dict[str, tuple[float, ...]] = {}
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.codes)))
 
     @staticmethod
     def _relative(x: list[float]) -> tuple[float, ...]:
@@ -106,59 +163,62 @@ class Model:
 
     def score(self, w: str) -> tuple[float, ...]:
         """Of a word: its own frequencies if it is known, else those of its longest known n-grams, at half their weight."""
-        got = self.words.get(w) or self.cache.get(w)
+        got = self.words.get(w)
         if got is None:
             t, sums, n = f" {w} ", [0.0] * len(self.codes), 0
-            k = 0
-            while k < len(t):
+            for k in range(len(t)):
                 for m in range(self.top, 0, -1):
                     g = self.grams.get(t[k : k + m]) if k + m <= len(t) else None
                     if g:
                         sums, n = [a + b for a, b in zip(sums, g)], n + 1
                         break
-                k += 1
             got = tuple(0.5 * v for v in self._relative([s / max(1, n) for s in sums]))
-            if len(self.cache) < 200_000:
-                self.cache[w] = got
         return got
 
-    def stretches(self, text: str | None) -> list[tuple[str, float, int]]:
-        """(language, confidence, words) of each maximal stretch in one language; none without prose."""
-        units = sentences(text)
-        if not self.codes or sum(map(len, units)) < LEAST_WORDS:
+    def _row(self, w: str) -> int:
+        """Where the scores of a word stand in the table, which they are put into on first sight."""
+        n = self.at[w] = len(self.at)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = self.score(w)
+        return n
+
+    def label(self, texts: list[str | None]) -> list[list[tuple[str, float, int]]]:
+        """(language, confidence, words) of each maximal stretch in one language, for each text; none without prose."""
+        if not self.codes:
+            return [[] for _ in texts]
+        if len(self.at) > CACHE_WORDS:
+            self.at = {}
+        ids, stops, at = [], [], [0]
+        for text in texts:
+            seen = self.at
+            mine = [-1 if w == _STOP else seen[w] if w in seen else self._row(w) for w in marked_words(text)]
+            a = np.array(mine, np.int64)
+            words = a >= 0
+            if words.sum() < LEAST_WORDS:
+                a, words = a[:0], words[:0]
+            begins = np.ones(len(a), bool)
+            begins[1:] = ~words[:-1]
+            ids.append(a[words])
+            stops.append(begins[words])
+            at.append(at[-1] + len(ids[-1]))
+        at = np.array(at)
+        scores = self.table[np.concatenate(ids)]
+        path = best_paths(scores, np.concatenate(stops), at)
+        return [self._stretches(path[a:b], scores[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def _stretches(self, path: np.ndarray, scores: np.ndarray) -> list[tuple[str, float, int]]:
+        """Stretches of one text's path. One of fewer than ``LEAST_WORDS`` words is no stretch, unless there is no other."""
+        if not len(path):
             return []
-        k, rows, first = len(self.codes), [], set()
-        best_each = set()
-        for u in units:
-            first.add(len(rows))
-            got = [self.score(w) for w in u]
-            rows += got
-            sums = [sum(c) for c in zip(*got)]
-            best_each.add(max(range(k), key=sums.__getitem__) if len(u) >= 4 and sorted(sums)[-2:][0] < max(sums) - 2 else -1)
-        total = [sum(c) for c in zip(*rows)]
-        if len(best_each - {-1}) == 1 and -1 not in best_each and max(total) == total[next(iter(best_each))]:
-            path = [next(iter(best_each))] * len(rows)
-        else:
-            v, back = list(rows[0]), []
-            for n, s in enumerate(rows[1:], 1):
-                top = max(range(k), key=v.__getitem__)
-                jump = v[top] - (SWITCH_SENTENCE if n in first else SWITCH_WORD)
-                back.append([j if v[j] >= jump else top for j in range(k)])
-                v = [max(v[j], jump) + s[j] for j in range(k)]
-            path = [max(range(k), key=v.__getitem__)]
-            for b in reversed(back):
-                path.append(b[path[-1]])
-            path.reverse()
-        out, at = [], 0
-        for n in range(1, len(path) + 1):
-            if n == len(path) or path[n] != path[at]:
-                sums = [sum(c) for c in zip(*rows[at:n])]
-                z = [(x - max(sums)) / math.sqrt(n - at) for x in sums]
-                out.append([path[at], math.exp(z[path[at]]) / sum(map(math.exp, z)), n - at])
-                at = n
+        cut = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
+        size = np.diff(np.append(cut, len(path)))
+        sums = np.add.reduceat(scores, cut, axis=0)
+        z = np.exp((sums - sums.max(1, keepdims=True)) / np.sqrt(size)[:, None])
+        sure = (z[np.arange(len(cut)), path[cut]] / z.sum(1)).tolist()
         merged: list[list] = []
-        for lang, conf, n in out:
-            if n < LEAST_WORDS and len(out) > 1:
+        for lang, conf, n in zip(path[cut].tolist(), sure, size.tolist()):
+            if n < LEAST_WORDS and len(cut) > 1:
                 continue
             if merged and merged[-1][0] == lang:
                 merged[-1][1], merged[-1][2] = max(merged[-1][1], conf), merged[-1][2] + n
@@ -166,6 +226,10 @@ class Model:
                 merged.append([lang, conf, n])
         return [(self.codes[a], round(b, 4), n) for a, b, n in merged]
 
+    def stretches(self, text: str | None) -> list[tuple[str, float, int]]:
+        """The stretches of one text."""
+        return self.label([text])[0]
+
 
 def fit(labelled: list[tuple[str, str]]) -> Model:
     """From (language, text). Labels may be wrong and texts mixed: sentences are labelled by a first model and counted again."""
@@ -214,8 +278,8 @@ def label_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, t, label in zip(*(b.column(i).to_pylist() for i in range(3))):
-                segs = model.stretches(t)
+            docs, texts, labels = (b.column(i).to_pylist() for i in range(3))
+            for d, segs, label in zip(docs, model.label(texts), labels):
                 if segs:
                     words = Counter()
                     for code, _, n in segs:

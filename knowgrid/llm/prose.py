@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from functools import cache
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
-_BROKEN = re.compile(r"(\w)[-‐­]\s*\n[\s>#*|]*(?=[^\W\d_])")
+_BROKEN = re.compile(r"[-‐\u00ad](?<=\w[-‐\u00ad])\s*\n[\s>#*|]*(?=[^\W\d_])")
 _QUOTE_PREFIX = re.compile(r"^[ \t]*(?:(?:[>*#|+]|-(?=\s))[ \t]*)+", re.M)
 _MARK = re.compile(r"[*_`~]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -17,6 +19,13 @@ _LOOKALIKE_SAFE = str.maketrans("аеорсухіј", "aeopcyxij")
 _QUOTES = re.compile(r"[’‘ʼ`´']")
 
 
+@cache
+def _invisible() -> tuple[frozenset[str], dict[int, None]]:
+    """Format characters but for the soft hyphen, which may stand in a broken word."""
+    found = [c for c in range(sys.maxunicode + 1) if c != 0xAD and unicodedata.category(chr(c)) == "Cf"]
+    return frozenset(map(chr, found)), dict.fromkeys(found)
+
+
 def unmarked(text: str) -> str:
     """Text without tags, entities, quote prefixes, invisible characters and broken words; line breaks stay."""
     for _ in range(3):
@@ -25,10 +34,10 @@ def unmarked(text: str) -> str:
             break
         text = plain
     text = _TAG.sub(" ", text) if "<" in text else text
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf" or c == "­")
-    text = _BROKEN.sub(r"\1", text.replace("\r\n", "\n").replace("\r", "\n"))
-    text = text.replace("­", "")
+    if not text.isascii() and not _invisible()[0].isdisjoint(text):
+        text = text.translate(_invisible()[1])
+    text = _BROKEN.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = text.replace("\u00ad", "")
     return _QUOTE_PREFIX.sub("", text)
 
 

@@ -29,6 +29,42 @@ def test_unseen_words_back_off_to_ngrams(model):
     assert codes(model, "Schlüsselregionen verlierenden Mitternachtsdienste") == ["de"]
 
 
+def test_change_inside_a_sentence(model):
+    glued = EN[0][:-1] + " and " + EN[1][:-1] + " " + DE[0][:-1].lower() + " " + DE[1].lower()
+    assert codes(model, glued) == ["en", "de"]
+
+
+def test_change_inside_a_sentence_on_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = G.fit(G.sample_labelled(docs, "doc_id", "text", "lang"))
+    text = "we looked at the report of the team again and it was not clear who should have read it before the end of the week und dann haben wir das noch nicht mit der"
+    assert codes(m, text) == ["en", "de"]
+
+
+def test_paths_are_those_of_viterbi():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes = [5, 1, 0, 4, 5]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    scores, stops = -rng.random((at[-1], 3)) * 12, rng.random(at[-1]) < 0.4
+    got = G.best_paths(scores, stops, at)
+    cost = lambda path, a: sum(scores[a + i, p] for i, p in enumerate(path)) - sum(
+        (G.SWITCH_SENTENCE if stops[a + i] else G.SWITCH_WORD) for i in range(1, len(path)) if path[i] != path[i - 1]
+    )
+    for a, b in zip(at[:-1], at[1:]):
+        if b > a:
+            best = max(cost(p, a) for p in itertools.product(range(3), repeat=int(b - a)))
+            assert abs(cost(got[a:b].tolist(), a) - best) < 1e-9
+
+
+def test_batches_don_t_change_results(model):
+    texts = [EN[0] * 30, None, "", DE[1], RU[0] + "\n" + EN[2], "ok", EN[1] + " " + DE[0] + " " + DE[2]]
+    assert model.label(texts) == [model.stretches(t) for t in texts]
+
+
 @pytest.mark.parametrize(("label", "want"), [("en-US", "en"), ("English", "en"), ("DEU", "de"), ("it", ""), (None, None), ("??", None), ("unknown", None), ("zxx", None)])
 def test_labels(label, want):
     assert G.label_code(label) == want

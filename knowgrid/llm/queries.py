@@ -26,13 +26,17 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
-def _entities(spark: SparkSession, d: str) -> DataFrame:
+def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, names.Habits]:
     people = table(spark, d, "people").select("rec_id", "name", "email", "title", "team", "org", "manager")
     mm = table(spark, d, "mailmap")
     none = [F.lit(None).cast("string").alias(c) for c in ("title", "team", "org", "manager")]
     proper, commit = mm.select("rec_id", "name", "email", *none), mm.select("rec_id", F.col("commit_name").alias("name"), F.col("commit_email").alias("email"), *none)
     rows = people.unionByName(proper).unionByName(commit.where("name is not null or email is not null"))
-    return names.link_names(rows, names.fit_habits(people))
+    return rows, names.fit_habits(people)
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(*_mentions(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +50,15 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(sizes, ["group_id"]).select("rec_id", "first_rec_id", "n_records")
 
 
+def p1_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Records by what the trie join says of their typed names: the fewest edits of a hit (-1: none is found), and
+    whether an address of the record spells a name itself."""
+    m = names.materialise(names.read_mentions(*_mentions(spark, d)), "mentions")
+    hits = names.typed_hits(m)[1].groupBy("rec_id").agg(F.min("edits").alias("edits"))
+    asked = m.where("size(guess) > 0").groupBy("rec_id").agg(F.bool_or(F.coalesce("spelt", F.lit(False))).alias("spelt"))
+    return asked.join(hits, ["rec_id"], "left").groupBy(F.coalesce("edits", F.lit(-1)).alias("edits"), "spelt").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def _free_texts(spark: SparkSession, d: str) -> tuple[DataFrame, personal.Lexicon]:
     fields = (("pd_incidents", "description"), ("pd_notes", "content"), ("matters", "narrative"))
     texts = personal.union_texts([(n, table(spark, d, n), c) for n, c in fields])
@@ -110,6 +123,7 @@ f AS (SELECT id AS member_id, min(g) AS group_id FROM t GROUP BY id)
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p1_hits": p1_hits,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
     "p4_found": p4_found,

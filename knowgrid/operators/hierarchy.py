@@ -1,113 +1,178 @@
 """Parent-child links to full hierarchies: subtree sizes upward, sibling preorder ranges downward, nested sets.
 
-The two passes don't go level by level: pointer doubling first gives every node its chain of ancestors in
-log2(depth) rounds, after which one aggregation carries all subtree sizes upward and one carries all range
-offsets downward, whatever the depth.
+Neither pass goes level by level: each works with pointers that double their reach every round, so the rounds are
+log2 of the depth and a row never carries more than a few numbers. Ancestors and descendants come out of the finished
+ranges, by one sweep over the preorder numbers.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowgrid.session import materialise
 
-#: Buckets into which the children of one parent are split, so that no parent's children meet in one task.
-SIBLING_BUCKETS = 64
+#: Buckets into which the children of one parent are split, at least, and nodes that one bucket may hold at most.
+SIBLING_BUCKETS, BUCKET_NODES = 64, 200_000
+#: Nodes that may look up the same one in one task; those of a node with more are spread over several copies of it.
+#: No more than a thousand nodes can have more than a thousandth of all.
+HOT_NODES, HOT_SHARE = 100_000, 1_000
+#: Preorder numbers that one task of the sweep covers.
+SWEEP_NODES = 100_000
 
 
-def ancestor_chains(links: DataFrame) -> DataFrame:
-    """``node, parent`` (distinct nodes; parent NULL or one of them) to ``node, parent, chain``.
+def _look_up(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` (with ``up``, not NULL) with what ``table`` (one row for each ``_at``) says of their ``up``.
 
-    ``chain`` lists the ancestors from the parent to the root; NULL for a node on a circle or below one, whose
-    growing chain repeats a node instead of ending. Rows leave the loop as soon as their chain is complete.
+    ``hot`` (``_at, _parts``) names the few nodes that many look up; their rows meet that many copies of them.
     """
-    none = F.lit(None).cast("array<string>")
-    start = links.select("node", "parent", F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("chain"), F.col("parent").alias("up"))
-    start = start.withColumn("chain", F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.col("chain")))
-    parts, open_ = [], materialise(start, "chains")
-    parts.append(open_.where("up is null"))
-    open_ = open_.where("up is not null")
-    while not open_.isEmpty():
-        known = reduce(DataFrame.unionByName, parts, open_).select(F.col("node").alias("_at"), F.col("chain").alias("_more"), F.col("up").alias("_next"))
-        grown = open_.join(known, F.col("up") == F.col("_at")).select("node", "parent", F.concat("chain", "_more").alias("chain"), F.col("_next").alias("up"))
-        circle = F.col("up").isNotNull() & (F.array_contains("chain", F.col("node")) | (F.size(F.array_distinct("chain")) < F.size("chain")))
-        grown = grown.withColumn("_circle", F.col("chain").isNull() | circle)
-        grown = grown.select("node", "parent", F.when(~F.col("_circle"), F.col("chain")).alias("chain"), F.when(~F.col("_circle"), F.col("up")).alias("up"))
-        grown = materialise(grown, "chains")
-        parts.append(grown.where("up is null"))
-        open_ = grown.where("up is not null")
-    return reduce(DataFrame.unionByName, parts).drop("up")
-
-
-def subtree_sizes(chains: DataFrame) -> DataFrame:
-    """``node, parent, chain, size``: the node itself and all below it. Counts combine before the shuffle."""
-    below = chains.where("chain is not null").select(F.explode("chain").alias("_anc")).groupBy("_anc").agg(F.count(F.lit(1)).alias("_below"))
-    return chains.where("chain is not null").join(below, F.col("node") == F.col("_anc"), "left").select("node", "parent", "chain", (F.coalesce("_below", F.lit(0)) + 1).alias("size"))
-
-
-def preorder_ranges(sized: DataFrame, buckets: int = SIBLING_BUCKETS) -> DataFrame:
-    """``node, lft``: the preorder number, so that ``[lft, lft + size)`` holds exactly the subtree.
+    if hot is None:
+        return rows.join(table, F.col("up") == F.col("_at")).drop("_at")
+    parts = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0)).cast("int")
+    salted = rows.join(parts.withColumnRenamed("_at", "up"), ["up"], "left").withColumn("_salt", salt).drop("_parts")
+    copies = table.join(parts, ["_at"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return salted.join(copies, (F.col("up") == F.col("_at")) & (F.col("_salt") == F.col("_s"))).drop("_at", "_salt", "_s")
+
+
+def _hot(rows: DataFrame, n: int, most: int) -> DataFrame | None:
+    """Nodes that more rows look up than a task should handle, with the number of tasks for each: at most ``HOT_SHARE``
+    of them."""
+    limit = max(most, n // HOT_SHARE)
+    if n <= limit:
+        return None
+    counts = rows.where("up is not null").groupBy(F.col("up").alias("_at")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    found = counts.select("_at", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")).collect()
+    return rows.sparkSession.createDataFrame(found, "_at string, _parts int") if found else None
+
+
+def subtree_sizes(links: DataFrame, hot_nodes: int = HOT_NODES) -> tuple[DataFrame, list[DataFrame | None]]:
+    """``node, parent, size, ups`` of the nodes that a root is above, from ``node, parent`` (distinct; parent NULL or one
+    of them); and the hot nodes of every round.
+
+    Before round k a node knows its 2^k-th ancestor (``ups`` lists those of all rounds) and how many nodes are less
+    than 2^k below it. It adds its count to that ancestor's and takes that ancestor's pointer. Whoever has no such
+    ancestor is done. Depths leave no gaps, so when a round finishes nobody, all that is unprocessed is on a circle
+    or below one.
+    """
+    start = links.select("node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), F.array_compact(F.array("parent")).alias("ups"))
+    now = materialise(start, "tree")
+    n, open_, rounds = now.count(), now.where("up is not null").count(), []
+    while open_:
+        waiting = now.where("up is not null")
+        rounds.append(_hot(waiting, n, hot_nodes))
+        more = waiting.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("_more"))
+        step = _look_up(waiting, now.select(F.col("node").alias("_at"), F.col("up").alias("_next")), rounds[-1])
+        step = step.select("node", "parent", F.col("_next").alias("up"), "size", F.when(F.col("_next").isNull(), F.col("ups")).otherwise(F.concat("ups", F.array("_next"))).alias("ups"))
+        step = step.unionByName(now.where("up is null")).join(more, ["node"], "left")
+        now = materialise(step.select("node", "parent", "up", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"), "ups"), "tree")
+        still = now.where("up is not null").count()
+        if still == open_:
+            break
+        open_ = still
+    return now.where("up is null").select("node", "parent", "size", "ups"), rounds
+
+
+def preorder_ranges(sized: DataFrame, rounds: list[DataFrame | None], buckets: int = SIBLING_BUCKETS) -> DataFrame:
+    """``node, parent, size, lft``: the preorder number, so that ``[lft, lft + size)`` holds exactly the subtree.
 
     A node's offset within its parent is one plus the sizes of the siblings before it. Siblings are ordered by
-    (bucket, node): a prefix sum within each bucket and one over the bucket totals. The sum of the offsets
-    along the chain is the preorder number.
+    (bucket, node): a prefix sum within each bucket and one over the bucket totals; roots are each other's
+    siblings, so all trees together have the numbers from 1 on without a gap. Offsets are added up downward with
+    the pointers of ``subtree_sizes``: a node adds what its 2^k-th ancestor has.
     """
-    kids = sized.select("node", F.coalesce("parent", F.lit("")).alias("_p"), "size", F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("_b"))
+    kids = sized.select("node", "parent", "size", "ups", F.coalesce("parent", F.lit("")).alias("_p"), F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("_b"))
     totals = kids.groupBy("_p", "_b").agg(F.sum("size").alias("_t"))
     before = totals.withColumn("_o", F.sum("_t").over(Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
     inner = kids.withColumn("_i", F.sum("size").over(Window.partitionBy("_p", "_b").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = inner.join(before, ["_p", "_b"]).select(F.col("node").alias("_a"), (F.lit(1) + F.coalesce("_o", F.lit(0)) + F.coalesce("_i", F.lit(0))).alias("_off"))
-    path = sized.select("node", F.explode(F.concat(F.array("node"), "chain")).alias("_a"))
-    return path.join(offsets, ["_a"]).groupBy("node").agg(F.sum("_off").alias("lft"))
+    own = F.lit(1) + F.coalesce("_o", F.lit(0)) + F.coalesce("_i", F.lit(0))
+    now = materialise(inner.join(before, ["_p", "_b"]).select("node", "parent", "size", "ups", own.cast("long").alias("lft")), "ranges")
+    for k, hot in enumerate(rounds):
+        waiting, above = now.where(F.size("ups") > k).withColumn("up", F.get("ups", F.lit(k))), now.select(F.col("node").alias("_at"), F.col("lft").alias("_above"))
+        step = _look_up(waiting, above, hot).withColumn("lft", F.col("lft") + F.col("_above")).drop("up", "_above")
+        now = materialise(step.unionByName(now.where(F.size("ups") <= k)), "ranges")
+    return now.drop("ups")
 
 
-def hierarchy(links: DataFrame, sep: str = ">") -> DataFrame:
-    """``node, parent, root_node, lvl, node_path, lft, size, in_circle`` for every row of ``links`` (``node, parent``).
+def _sweep(ranged: DataFrame, emit: Callable, ddl: str, nodes: int = SWEEP_NODES) -> DataFrame:
+    """One pass over all ranges in order of ``lft``, in blocks of equal length; ``emit(stack, node, lft, size)`` gives a
+    row's results, ``stack`` being its ancestors from the root.
 
-    Nodes are distinct, NULL ones are left out; a parent that is no node counts as none. Those the two passes never reach
-    have no range: they are on a circle or below one and get root 'cycle', level -1 and an empty path. A node
-    that is its own parent is a circle of one. Ranges of different trees don't overlap. An empty table gives
-    an empty one.
+    A block begins with copies of the ranges that reach into it, which are the ancestors of its first node; so no
+    node is in more than one task with all its descendants, however many these are.
     """
+    block = lambda c: F.floor(c / nodes).cast("long")
+    own = ranged.select(block(F.col("lft")).alias("b"), "lft", "size", "node", F.lit(True).alias("own"))
+    last = block(F.col("lft") + F.col("size") - 1)
+    reach = ranged.where(last > block(F.col("lft"))).select(F.explode(F.sequence(block(F.col("lft")) + 1, last)).alias("b"), "lft", "size", "node", F.lit(False).alias("own"))
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ends, stack = None, [], []
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for b, lft, size, node, mine in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != at:
+                    at, ends, stack = b, [], []
+                while ends and ends[-1] <= lft:
+                    ends.pop()
+                    stack.pop()
+                if mine:
+                    for row in emit(stack, node, lft, size):
+                        for c, v in zip(out, row):
+                            c.append(v)
+                ends.append(lft + size)
+                stack.append(node)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return own.unionByName(reach).repartition("b").sortWithinPartitions("b", "lft").mapInArrow(run, ddl)
+
+
+def _named(links: DataFrame) -> DataFrame:
+    """Links with the parents that are nodes themselves. A parent named by many is looked up in a table without them."""
     named = links.where("node is not null").select("node", F.when(F.col("parent") != "", F.col("parent")).alias("parent"))
-    nodes = named.select(F.col("node").alias("_n"))
-    named = named.join(nodes, F.col("parent") == F.col("_n"), "left").select("node", F.col("_n").alias("parent"))
-    chains = ancestor_chains(named)
-    sized = materialise(subtree_sizes(chains), "sizes")
-    ranged = sized.join(preorder_ranges(sized), ["node"])
-    done = ranged.select(
-        "node",
-        "parent",
-        F.coalesce(F.element_at(F.col("chain"), F.when(F.size("chain") > 0, -1).otherwise(F.lit(None))), F.col("node")).alias("root_node"),
-        F.size("chain").alias("lvl"),
-        F.concat_ws(sep, F.reverse("chain"), F.col("node")).alias("node_path"),
-        "lft",
-        "size",
-        F.lit(False).alias("in_circle"),
-    )
-    lost = chains.join(ranged.select("node"), ["node"], "left_anti").select(
-        "node",
-        "parent",
-        F.lit("cycle").alias("root_node"),
-        F.lit(-1).alias("lvl"),
-        F.lit("").alias("node_path"),
-        F.lit(None).cast("bigint").alias("lft"),
-        F.lit(None).cast("bigint").alias("size"),
-        F.lit(True).alias("in_circle"),
-    )
-    return done.unionByName(lost)
-
-
-def descendants(tree: DataFrame) -> DataFrame:
-    """``ancestor, node`` for every pair with the ancestor strictly above, from the nested sets.
-
-    The ancestors of a node are the ranges around its number; ranges nest, so each node is handed the
-    ranges on its own path only, found by the path rather than by comparing all ranges.
+    parents = named.where("parent is not null").select("parent").distinct()
+    real = parents.join(named.select(F.col("node").alias("parent")), ["parent"], "left_semi")
+    # Both sides hold each name once, so only what is no node has to be told apart: as a rule next to nothing.
+    lost = materialise(parents.join(real, ["parent"], "left_anti").withColumn("_lost", F.lit(True)), "lost")
+    told = named.where("parent is not null").join(lost, ["parent"], "left").select("node", F.when(F.col("_lost").isNull(), F.col("parent")).alias("parent"))
+    return told.unionByName(named.where("parent is null"))
+
+
+def ranges(links: DataFrame, hot_nodes: int = HOT_NODES) -> tuple[DataFrame, DataFrame]:
+    """``node, parent, size, lft`` of the nodes in trees, and ``node, parent`` of those on or below circles."""
+    named = materialise(_named(links), "links")
+    sized, rounds = subtree_sizes(named, hot_nodes)
+    buckets = max(SIBLING_BUCKETS, named.count() // BUCKET_NODES)
+    ranged = preorder_ranges(sized, rounds, buckets)
+    return ranged, named.join(ranged.select("node"), ["node"], "left_anti")
+
+
+def hierarchy(links: DataFrame, sep: str = ">", hot_nodes: int = HOT_NODES, sweep_nodes: int = SWEEP_NODES) -> DataFrame:
+    """``node, parent, root_node, lvl, node_path, lft, size, in_circle`` for every row of ``links`` (``node, parent``).
+
+    Nodes are distinct, NULL ones are left out; a parent that is no node counts as none. Root, level and path are read
+    from the ranges around a node's number. Those that the two passes never reach have no range: they are on a circle
+    or below one and get root 'cycle', level -1 and an empty path. A node that is its own parent is a circle of
+    one. Ranges of different trees don't overlap. An empty table gives an empty one.
     """
-    inside = tree.where("not in_circle")
-    anc = inside.select(F.col("node").alias("ancestor"), F.col("lft").alias("_l"), F.col("size").alias("_s"))
-    cand = inside.where("lvl > 0").select("node", "lft", F.explode(F.slice(F.split("node_path", ">"), F.lit(1), F.col("lvl"))).alias("ancestor"))
-    return cand.join(anc, ["ancestor"]).where("lft > _l and lft < _l + _s").select("ancestor", "node")
+    ranged, lost = ranges(links, hot_nodes)
+
+    def line(stack: list[str], node: str, lft: int, size: int) -> list[tuple]:
+        return [(node, stack[-1] if stack else None, stack[0] if stack else node, len(stack), sep.join([*stack, node]), lft, size)]
+
+    done = _sweep(ranged, line, "node string, parent string, root_node string, lvl int, node_path string, lft long, size long", sweep_nodes)
+    none: Column = F.lit(None).cast("bigint")
+    circles = lost.select("node", "parent", F.lit("cycle").alias("root_node"), F.lit(-1).alias("lvl"), F.lit("").alias("node_path"), none.alias("lft"), none.alias("size"), F.lit(True).alias("in_circle"))
+    return done.withColumn("in_circle", F.lit(False)).unionByName(circles)
+
+
+def descendants(tree: DataFrame, sweep_nodes: int = SWEEP_NODES) -> DataFrame:
+    """``ancestor, node`` for every pair with the ancestor strictly above, from the ranges of a ``hierarchy``: a node's
+    ancestors are the ranges around its number."""
+    return _sweep(tree.where("not in_circle"), lambda stack, node, lft, size: [(a, node) for a in stack], "ancestor string, node string", sweep_nodes)

@@ -45,3 +45,16 @@ def test_empty_and_null_nodes(spark):
     assert run(spark, {"a": None}).count() == 1
     df = spark.createDataFrame([(None, "a")], "node string, parent string")
     assert H.hierarchy(df).count() == 0
+
+
+def test_hot_nodes_and_block_borders(spark):
+    """Spread look-ups and small blocks give what whole ones give, ancestors reaching over many blocks included."""
+    rng = random.Random(8)
+    parent = {"r": None} | {f"k{i}": "r" for i in range(120)} | {f"m{i}": f"k{rng.randrange(3)}" for i in range(200)} | {f"z{i}": f"z{i - 1}" if i else "m7" for i in range(40)} | {"o": "p", "p": "o"}
+    df = spark.createDataFrame(list(parent.items()), "node string, parent string")
+    got = {r.node: (r.root_node, r.lvl, r.node_path) for r in H.hierarchy(df, hot_nodes=5, sweep_nodes=7).collect()}
+    assert got == brute(parent)
+    slashes = {r.node: r.node_path for r in H.hierarchy(df, sep="/").collect()}
+    assert slashes["k1"] == "r/k1"
+    pairs = {(r.ancestor, r.node) for r in H.descendants(H.hierarchy(df, sep="/"), sweep_nodes=9).collect()}
+    assert pairs == {(a, n) for n, (_, _, path) in got.items() for a in path.split(">")[:-1]}

@@ -13,42 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowgrid.session import materialise
+from knowgrid.session import hot_keys, look_up, materialise
 
 #: Buckets into which the children of one parent are split, at least, and nodes that one bucket may hold at most.
 SIBLING_BUCKETS, BUCKET_NODES = 64, 200_000
 #: Nodes that may look up the same one in one task; those of a node with more are spread over several copies of it.
-#: No more than a thousand nodes can have more than a thousandth of all.
-HOT_NODES, HOT_SHARE = 100_000, 1_000
+HOT_NODES = 100_000
 #: Preorder numbers that one task of the sweep covers.
 SWEEP_NODES = 100_000
 
 
-def _look_up(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``rows`` (with ``up``, not NULL) with what ``table`` (one row for each ``_at``) says of their ``up``.
-
-    ``hot`` (``_at, _parts``) names the few nodes that many look up; their rows meet that many copies of them.
-    """
-    if hot is None:
-        return rows.join(table, F.col("up") == F.col("_at")).drop("_at")
-    parts = F.broadcast(hot)
-    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0)).cast("int")
-    salted = rows.join(parts.withColumnRenamed("_at", "up"), ["up"], "left").withColumn("_salt", salt).drop("_parts")
-    copies = table.join(parts, ["_at"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
-    return salted.join(copies, (F.col("up") == F.col("_at")) & (F.col("_salt") == F.col("_s"))).drop("_at", "_salt", "_s")
-
-
-def _hot(rows: DataFrame, n: int, most: int) -> DataFrame | None:
-    """Nodes that more rows look up than a task should handle, with the number of tasks for each: at most ``HOT_SHARE``
-    of them."""
-    limit = max(most, n // HOT_SHARE)
-    if n <= limit:
-        return None
-    counts = rows.where("up is not null").groupBy(F.col("up").alias("_at")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    found = counts.select("_at", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")).collect()
-    return rows.sparkSession.createDataFrame(found, "_at string, _parts int") if found else None
-
-
 def subtree_sizes(links: DataFrame, hot_nodes: int = HOT_NODES) -> tuple[DataFrame, list[DataFrame | None]]:
     """``node, parent, size, ups`` of the nodes that a root is above, from ``node, parent`` (distinct; parent NULL or one
     of them); and the hot nodes of every round.
@@ -63,9 +37,9 @@ def subtree_sizes(links: DataFrame, hot_nodes: int = HOT_NODES) -> tuple[DataFra
     n, open_, rounds = now.count(), now.where("up is not null").count(), []
     while open_:
         waiting = now.where("up is not null")
-        rounds.append(_hot(waiting, n, hot_nodes))
+        rounds.append(hot_keys(waiting, "up", n, hot_nodes))
         more = waiting.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("_more"))
-        step = _look_up(waiting, now.select(F.col("node").alias("_at"), F.col("up").alias("_next")), rounds[-1])
+        step = look_up(waiting, "up", "node", now.select(F.col("node").alias("_at"), F.col("up").alias("_next")), rounds[-1])
         step = step.select("node", "parent", F.col("_next").alias("up"), "size", F.when(F.col("_next").isNull(), F.col("ups")).otherwise(F.concat("ups", F.array("_next"))).alias("ups"))
         step = step.unionByName(now.where("up is null")).join(more, ["node"], "left")
         now = materialise(step.select("node", "parent", "up", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"), "ups"), "tree")
@@ -92,7 +66,7 @@ def preorder_ranges(sized: DataFrame, rounds: list[DataFrame | None], buckets: i
     now = materialise(inner.join(before, ["_p", "_b"]).select("node", "parent", "size", "ups", own.cast("long").alias("lft")), "ranges")
     for k, hot in enumerate(rounds):
         waiting, above = now.where(F.size("ups") > k).withColumn("up", F.get("ups", F.lit(k))), now.select(F.col("node").alias("_at"), F.col("lft").alias("_above"))
-        step = _look_up(waiting, above, hot).withColumn("lft", F.col("lft") + F.col("_above")).drop("up", "_above")
+        step = look_up(waiting, "up", "node", above, hot).withColumn("lft", F.col("lft") + F.col("_above")).drop("up", "_above")
         now = materialise(step.unionByName(now.where(F.size("ups") <= k)), "ranges")
     return now.drop("ups")
 

@@ -66,6 +66,31 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
+def hot_keys(rows: DataFrame, key: str, total: int, most: int, share: int = 1_000) -> DataFrame | None:
+    """``_at, _parts``: keys that more than ``most`` rows, and more than one in ``share`` of the ``total``, have, with the
+    number of tasks that each is worth. No more than ``share`` keys can be hot. None if there are none."""
+    limit = max(most, total // share)
+    if total <= limit:
+        return None
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    found = counts.select("_at", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")).collect()
+    return rows.sparkSession.createDataFrame(found, "_at string, _parts int") if found else None
+
+
+def look_up(rows: DataFrame, key: str, by: str, table: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``table`` (one row for each ``_at``) says of their ``key``.
+
+    The rows of a hot key, told apart by ``by``, meet as many copies of its row as it is worth tasks.
+    """
+    if hot is None:
+        return rows.join(table, F.col(key) == F.col("_at"), how).drop("_at")
+    parts = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")
+    salted = rows.join(parts.withColumnRenamed("_at", key), [key], "left").withColumn("_salt", salt).drop("_parts")
+    copies = table.join(parts, ["_at"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return salted.join(copies, (F.col(key) == F.col("_at")) & (F.col("_salt") == F.col("_s")), how).drop("_at", "_salt", "_s")
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing lazy refers to it."""
     path = getattr(df, "_knowgrid_path", None)

@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowgrid.session import materialise
+from knowgrid.session import hot_keys, look_up, materialise
 
 #: Rows and columns of the finest grid; its cells are counted and their counts (at most GRID * (GRID + 1) / 2) planned with.
 GRID = 128
 #: Edges that one block should hold; a block with more than twice as many is split.
-BLOCK_EDGES = 1_000_000
+BLOCK_EDGES = 250_000
+#: Vertices that may look up the same representative in one task; those of a larger group are spread over copies of it.
+HOT_VERTICES = 250_000
 
 
 def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
@@ -92,7 +94,7 @@ def _blocks(edges: DataFrame, block_edges: int) -> tuple[DataFrame, int]:
     return placed.select("u", "v", (F.col("base") + F.pmod(F.xxhash64("u", "v"), F.col("parts"))).cast("int").alias("pid")), base
 
 
-def connected_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+def connected_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES, hot_vertices: int = HOT_VERTICES) -> DataFrame:
     """``v, root`` for every vertex in ``edges`` (``u, v`` strings, not NULL); root is the smallest vertex reached.
 
     A vertex without links is given as an edge to itself. Vertices are hashed to the rows and columns of a grid;
@@ -101,7 +103,8 @@ def connected_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFr
     between representatives are the edges of the next round. It ends when no block disagrees; every round leaves
     fewer vertices, and as soon as the links fit one block the next round is the last. A block that a hub makes too
     large is split over several tasks, since any part of a block may be solved by itself. Repeated, reversed and
-    self pairs are harmless; an empty table gives an empty one.
+    self pairs are harmless; an empty table gives an empty one. At the end each vertex looks up what became of
+    its representative; the vertices of a giant group do that in many tasks.
     """
     maps = []
     while True:
@@ -120,8 +123,8 @@ def connected_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFr
             break
     out = maps[-1].select("v", F.col("m").alias("root"))
     for level in reversed(maps[:-1]):
-        up = out.select(F.col("v").alias("_v"), "root")
-        out = level.join(up, F.col("m") == F.col("_v"), "left").select("v", F.coalesce("root", "m").alias("root"))
+        hot = hot_keys(level, "m", level.count(), hot_vertices)
+        out = look_up(level, "m", "v", out.select(F.col("v").alias("_at"), "root"), hot, "left").select("v", F.coalesce("root", "m").alias("root"))
     return out
 
 

@@ -49,3 +49,10 @@ def test_match_rows(spark):
     got = {r.v[:3]: r.root[:3] for r in C.connected_groups(C.match_edges(df, "alias", "canonical", "a", 0.6)).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f", "g": "g", "xxx": "a"}
     assert C.connected_groups(C.match_edges(df.limit(0), "alias", "canonical", "a", 0.6)).count() == 0
+
+
+def test_a_giant_group_is_looked_up_in_parts(spark):
+    pairs = [("hub", f"h{i}") for i in range(400)] + [(f"h{i}", f"t{i}") for i in range(0, 400, 3)] + [("q1", "q2")]
+    edges = spark.createDataFrame(pairs, "u string, v string")
+    got = {r.v: r.root for r in C.connected_groups(edges, 30, hot_vertices=20).collect()}
+    assert got == brute(pairs)

@@ -15,11 +15,26 @@ from knowgrid.functions.stem import stem
 
 
 @F.pandas_udf(StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """Compatibility forms and diacritics removed."""
+def _fold_any(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn"))
 
 
+def _latin_table() -> tuple[str, str]:
+    """Latin letters that fold to one letter, and these; from the Unicode tables."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if unicodedata.category(x) != "Mn")) for c in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold(c: Column | str) -> Column:
+    """Compatibility forms and diacritics removed: Latin letters where the text is read; other scripts, compatibility
+    forms and separate marks in Python, which sees only texts that hold any."""
+    c = F.col(c) if isinstance(c, str) else c
+    light = F.translate(c, *_latin_table())
+    plain = light.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, light).otherwise(_fold_any(F.when(~plain, c)))
+
+
 @F.pandas_udf(StringType())
 def stem_word(s: pd.Series) -> pd.Series:
     """Porter2 stem; apply it to distinct words and join back."""
@@ -144,18 +159,14 @@ def decay(at: Column, as_of: str, half_life_days: float = 180.0) -> Column:
 
 
 def truncate_bytes(c: Column, limit: int) -> Column:
-    """At most ``limit`` bytes, cut between characters."""
-    return F.when(F.octet_length(c) <= limit, c).otherwise(
-        F.aggregate(
-            F.split(F.substring(c, 1, limit), ""),
-            F.struct(F.lit("").alias("s"), F.lit(False).alias("full")),
-            lambda acc, ch: F.struct(
-                F.when(~acc["full"] & (F.octet_length(acc["s"]) + F.octet_length(ch) <= limit), F.concat(acc["s"], ch)).otherwise(acc["s"]).alias("s"),
-                (acc["full"] | (F.octet_length(acc["s"]) + F.octet_length(ch) > limit)).alias("full"),
-            ),
-            lambda acc: acc["s"],
-        )
-    )
+    """At most ``limit`` bytes, cut between characters.
+
+    The bytes are cut first; of a character cut apart, which starts within the last three bytes, nothing is kept.
+    """
+    cut = F.hex(F.substring(c.cast("binary"), 1, limit))
+    # A lead byte (C0 and up) with fewer followers (80 to BF) than it announces: one, two or three.
+    whole = F.regexp_replace(cut, r"(?:[CDEF][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F](?:[89AB][0-9A-F]){2})$", "")
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.unhex(whole).cast("string"))
 
 
 def stemmed_vocabulary(words: DataFrame, col: str = "token") -> DataFrame:

@@ -37,13 +37,16 @@ def ask(
     ties: DataFrame | None = None,
     votes: DataFrame | None = None,
     k: int = 10,
+    entities: DataFrame | None = None,
+    lens: DataFrame | None = None,
 ) -> DataFrame:
     """``entity, score, strength, label, reasons, rank`` for a question over postings of stems (``entity, token, w``).
 
     Words and synonyms resolve to posted stems, exactly or within an edit; subjects that travel with the question's
     (``ties``: ``a, b, weight``) add reach but no coverage, for entities that nothing else reached. Scores take the
     votes, the best 64 are boosted by their strongest field (``fields``: ``entity, field, token, value``), and only
-    the rows returned are explained. An empty question, or one of stop words only, gives an empty answer.
+    the rows returned are explained. ``entities`` are all that could be asked for and ``lens`` stored lengths, as
+    ``search.score`` takes them. An empty question, or one of stop words only, gives an empty answer.
     """
     asked, stems = question_terms(spark, question)
     vocabulary = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -51,17 +54,18 @@ def ask(
     weight = F.col("penalty") * F.pow(F.lit(0.7), F.col("dist"))
     best_term = found.groupBy("token").agg(F.max(F.struct(weight.alias("penalty"), "covers", "how", "dist", "asked")).alias("b"))
     terms = best_term.select("token", "b.*")
-    scored = search.score(post, terms.select("token", "penalty", "covers"))
+    scored = search.score(post, terms.select("token", "penalty", "covers"), entities, lens).withColumn("score", F.round("score", 9))
     if ties is not None:
         extra = knowledge.expand_by_ties(asked.select(F.col("term").alias("topic")), ties)
-        reach = search.score(post, extra.withColumn("covers", F.lit("")))
+        reach = search.score(post, extra.withColumn("covers", F.lit("")), entities, lens)
         reach = reach.join(scored, ["entity"], "left_anti").withColumn("covered", F.lit(0.0))
         scored = scored.unionByName(reach)
     if votes is not None:
         scored = search.apply_feedback(scored, votes, stems)
     hit = fields.join(terms.select("token", "covers", "how", "dist", "asked"), ["token"])
     ranked = search.rerank(scored, hit.select("entity", "field"))
-    best = search.top(ranked.select("entity", F.round("score", 9).alias("score"), F.round("strength", 6).alias("strength")), k, F.desc("score"), F.col("entity"))
+    ranked = ranked.select("entity", F.round("score", 9).alias("score"), F.round("strength", 6).alias("strength"), "head")
+    best = search.top(ranked, k, F.desc("head"), F.desc("score"), F.col("entity"))
     how = F.when(F.col("dist") > 0, "fuzzy").otherwise(F.col("how"))
     why = knowledge.reasons(hit.join(best.select("entity"), ["entity"], "left_semi").select("entity", F.col("asked").alias("term"), "field", "value", how.alias("how")))
     label = F.when(F.col("strength") >= 0.75, "strong").when(F.col("strength") >= 0.45, "moderate").when(F.col("strength") > 0, "weak")

@@ -35,7 +35,6 @@ def scoped(posts: DataFrame, participants: DataFrame, person: object) -> DataFra
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_if_missing: tuple[str, ...]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` by key; the columns named keep their old value where the new one is NULL."""
-    j = old.alias("o").join(new.alias("n"), [key], "full")
     fresh = F.col("_in_new").isNotNull()
     j = old.alias("o").join(new.withColumn("_in_new", F.lit(1)).alias("n"), [key], "full")
     cols = [F.when(fresh, F.coalesce(f"n.{c}", f"o.{c}") if c in keep_if_missing else F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns if c != key]

@@ -13,12 +13,12 @@ def salient(curated: Column, n_sources: Column, topic: Column, ubiquitous: Colum
     return ~ubiquitous & (curated | ((n_sources > 1) & topic.contains("-") & reads_as_name(topic)))
 
 
-def topic_groups(holders: DataFrame, least: float = 0.6, max_words: int = 8) -> DataFrame:
+def topic_groups(holders: DataFrame, least: float = 0.6) -> DataFrame:
     """``topic, grp``: fragments folded into the compound that most of their holders hold, up to the root.
 
     ``holders`` is distinct ``topic, person``. A compound has all the fragment's words and more; candidates share the
-    fragment's first word, so no pair of unrelated topics is looked at. Chains end after ``max_words`` steps at most,
-    since every step adds a word.
+    fragment's first word, so no pair of unrelated topics is looked at. Every step of a chain adds a word, so the rounds are
+    log2 of the words of the longest topic.
     """
     t = holders.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.split("topic", "[-_]"))
     frag = t.select(F.col("topic").alias("f"), F.col("n").alias("fn"), F.col("w").alias("fw"), F.element_at("w", 1).alias("k"))
@@ -29,8 +29,8 @@ def topic_groups(holders: DataFrame, least: float = 0.6, max_words: int = 8) ->
     best = shared.withColumn("o", F.round(F.col("s") / F.col("fn"), 9)).where(F.col("o") >= least)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy(F.desc("o"), "len", "c"))).where("r = 1").select("f", "c")
     out = t.select("topic", F.col("topic").alias("grp"))
-    steps = 1
-    while steps <= max_words:
+    steps, longest = 1, t.agg(F.max(F.size("w"))).first()[0] or 0
+    while steps <= longest:
         nxt = best.select(F.col("f").alias("grp"), F.col("c").alias("_up"))
         out = out.join(nxt, ["grp"], "left").select("topic", F.coalesce("_up", "grp").alias("grp"))
         up = best.select(F.col("f").alias("c"), F.col("c").alias("_u"))

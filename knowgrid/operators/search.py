@@ -35,17 +35,19 @@ def term_score(w: Column, length: Column, average: Column, idf_: Column, penalty
     return penalty * idf_ * capped * (K1 + 1) / (capped + K1 * norm)
 
 
-def score(post: DataFrame, terms: DataFrame) -> DataFrame:
+def score(post: DataFrame, terms: DataFrame, entities: DataFrame | None = None, lens: DataFrame | None = None) -> DataFrame:
     """``entity, score, covered, n_terms`` for query terms (``token, penalty, covers``).
 
-    ``terms`` is one question and is joined to the postings by token; document frequencies and lengths come from all
-    postings. ``covers`` is the word of the question a term stands for: coverage is the share of these that an
-    entity has.
+    ``terms`` is one question and is joined to the postings by token; document frequencies come from all postings.
+    ``covers`` is the word of the question a term stands for: coverage is the share of these that an entity has.
+    The number of documents is that of all ``entities`` (those with postings, if none are given); ``lens`` are
+    stored lengths (``entity, len``), so that a question reads its own words' postings only.
     """
-    lens = lengths(post)
-    stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    lens = lengths(post) if lens is None else lens
+    n = lens.agg(F.count(F.lit(1)).alias("n")) if entities is None else entities.agg(F.count_distinct("entity").alias("n"))
+    stats = lens.agg(F.avg("len").alias("avg_len")).crossJoin(n)
     asked = terms.agg(F.count_distinct("covers").alias("n_terms"))
-    hits = post.join(terms, ["token"])
+    hits = post.join(F.broadcast(terms), ["token"])
     df = hits.groupBy("token").agg(F.count_distinct("entity").alias("df"))
     scored = hits.join(df, ["token"]).join(lens, ["entity"]).crossJoin(stats).crossJoin(asked)
     s = term_score(F.col("w"), F.col("len"), F.col("avg_len"), idf(F.col("n"), F.col("df")), F.col("penalty"))
@@ -75,15 +77,18 @@ def rank_all(df: DataFrame, value: str, tie: str) -> DataFrame:
 
 
 def rerank(scored: DataFrame, evidence: DataFrame, window: int = RERANK_WINDOW) -> DataFrame:
-    """The best ``window`` entities, boosted by their strongest field (0.4 + 0.9 evidence) and ranked again.
+    """All scored entities; the best ``window`` boosted by their strongest field (0.4 + 0.9 evidence), the rest as they are.
 
-    ``evidence`` is ``entity, field``; an entity without any counts as a mention.
+    ``evidence`` is ``entity, field``; an entity without any counts as a mention. ``head`` tells the boosted ones,
+    which rank before the others whatever the boost makes of them.
     """
     table = F.create_map(*[F.lit(x) for p in EVIDENCE.items() for x in p])
     best = evidence.groupBy("entity").agg(F.max(table[F.col("field")]).alias("evidence"))
-    head = top(scored, window, F.desc("score"), F.col("entity")).drop("rank").join(best, ["entity"], "left")
-    ev = F.coalesce("evidence", F.lit(EVIDENCE["mention"]))
-    return head.select("entity", (F.col("score") * (0.4 + 0.9 * ev)).alias("score"), (ev * F.col("covered")).alias("strength"))
+    # At most ``window`` rows, whatever the data.
+    head = top(scored.select("entity", "score"), window, F.desc("score"), F.col("entity")).select("entity", F.lit(True).alias("head"))
+    j = scored.join(F.broadcast(head), ["entity"], "left").join(best, ["entity"], "left")
+    ev, first = F.coalesce("evidence", F.lit(EVIDENCE["mention"])), F.coalesce("head", F.lit(False))
+    return j.select("entity", F.when(first, F.col("score") * (0.4 + 0.9 * ev)).otherwise(F.col("score")).alias("score"), (ev * F.col("covered")).alias("strength"), first.alias("head"))
 
 
 def resolve_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -101,9 +101,9 @@ def regions(ties: DataFrame, lead: DataFrame, least: int = 3) -> DataFrame:
 
 def sole_spans(ties: DataFrame, rank: int = 3) -> DataFrame:
     """``person, a, b, weight``: ties that one person alone makes and that rank high on both sides."""
-    r = strongest(ties, 10_000)
+    r = strongest(ties, rank)
     back = r.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rank").alias("back"))
-    return r.where("witnesses = 1 and a < b").join(back, ["a", "b"]).where((F.col("rank") <= rank) & (F.col("back") <= rank)).select(F.col("sole").alias("person"), "a", "b", "weight")
+    return r.where("witnesses = 1 and a < b").join(back, ["a", "b"]).select(F.col("sole").alias("person"), "a", "b", "weight")
 
 
 def near_groups(members: DataFrame, person: object, max_size: int = 200) -> DataFrame:

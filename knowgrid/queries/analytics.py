@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from knowgrid.functions import text as T
 from knowgrid.functions import words as W
 from knowgrid.functions.identity import normalize_email
-from knowgrid.operators import episodes, risk, search, ties, vectors
+from knowgrid.operators import ask, episodes, risk, search, ties, vectors
 from knowgrid.plans import adapters as A
 from knowgrid.session import spread, table
+from knowgrid.sources import records
 
 QUESTION = ("ledger", "export", "tokens", "retries")
 QUERIES: dict = {}
@@ -75,9 +76,13 @@ def email_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "people").where("email is not null").select("rec_id", normalize_email(F.col("email")).alias("address"))
 
 
-@query("SELECT split_part(a, '@', 1) IN (" + ", ".join(f"'{w}'" for w in W.ROLE_LOCALS) + ") AS role, count(*) AS n FROM (SELECT lower(trim(email)) AS a FROM people WHERE email LIKE '%@%' AND email NOT LIKE '%<%' AND email NOT LIKE '%+%') GROUP BY 1")
+_ADDRESS = r"""CASE WHEN {0} LIKE '%@users.noreply.forgehub.example' THEN {0} ELSE regexp_replace({0}, '^([^@+]+)\+[^@]*@', '\1@') END"""
+_BARE = """lower(trim(CASE WHEN regexp_extract({0}, '<([^<>]*)>', 1) <> '' THEN regexp_extract({0}, '<([^<>]*)>', 1) ELSE {0} END, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"""
+
+
+@query("SELECT strpos(a, '@') > 1 AND split_part(a, '@', 1) IN (" + ", ".join(f"'{w}'" for w in W.ROLE_LOCALS) + ") AS role, count(*) AS n FROM (SELECT " + _ADDRESS.format("b") + " AS a FROM (SELECT " + _BARE.format("email") + " AS b FROM people WHERE email LIKE '%@%')) GROUP BY 1")
 def role_mailboxes(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "people").where("email like '%@%' and email not like '%<%' and email not like '%+%'").select(normalize_email(F.col("email")).alias("a"))
+    a = table(spark, d, "people").where("email like '%@%'").select(normalize_email(F.col("email")).alias("a"))
     return a.groupBy(T.is_role_mailbox(F.col("a")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -94,10 +99,18 @@ def scrub_secrets(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", T.scrub(leaky)[0].alias("clean"))
 
 
-@query("SELECT DISTINCT a.p_brand AS a, b.p_brand AS b FROM part a, part b WHERE a.p_brand < b.p_brand AND (contains(a.p_brand, b.p_brand) OR contains(b.p_brand, a.p_brand))")
+_SERVICES = "SELECT DISTINCT regexp_replace(lower(trim(service_name)), '[^a-z0-9]+', '-', 'g') AS s FROM pd_incidents WHERE trim(service_name) <> ''"
+
+
+@query(f"WITH n AS ({_SERVICES} UNION SELECT DISTINCT lower(project_key) FROM fakeapi WHERE trim(project_key) <> '' UNION SELECT DISTINCT unnest(string_split(s, '-')) FROM ({_SERVICES})) SELECT a.s AS a, b.s AS b FROM n a, n b WHERE a.s < b.s AND a.s <> '' AND b.s <> '' AND (contains(a.s, b.s) OR contains(b.s, a.s))")
 def same_family(spark: SparkSession, d: str) -> DataFrame:
-    """Names that hold each other."""
-    return ties.families(table(spark, d, "part"), "p_brand")
+    """Names of services, their words and projects that belong to one family: candidates from shared substrings, then the rule."""
+    name = F.regexp_replace(F.lower(F.trim("service_name")), "[^a-z0-9]+", "-")
+    services = table(spark, d, "pd_incidents").where("trim(service_name) <> ''").select(name.alias("s")).distinct()
+    projects = table(spark, d, "fakeapi").where("trim(project_key) <> ''").select(F.lower("project_key").alias("s"))
+    words = services.select(F.explode(F.split("s", "-")).alias("s"))
+    names = services.unionByName(projects).unionByName(words).where("s <> ''").distinct()
+    return ties.families(names, "s").where(T.same_family(F.col("a"), F.col("b")))
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN n <= 4 THEN n ELSE least(16, round(4 * (1 + ln(n / 4.0)))) END AS INTEGER) AS repeats FROM (SELECT l_partkey AS p_partkey, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -151,13 +164,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.top(s, 10, F.desc("score"), F.col("entity"))
 
 
-@query(_SCORED % _PLAIN + """, ev AS (SELECT DISTINCT place AS entity, CASE WHEN regexp_matches(lower(place), 'ledger|export|tokens|retries') THEN 1.0 ELSE 0.5 END AS e FROM documents WHERE place IS NOT NULL)
-SELECT entity, round(score * (0.4 + 0.9 * e), 6) AS score, round(e * covered, 6) AS strength FROM s JOIN ev USING (entity)""")
+@query(_SCORED % _PLAIN + """, ev AS (SELECT DISTINCT place AS entity, CASE WHEN regexp_matches(lower(place), 'ledger|export|tokens|retries') THEN 1.0 ELSE 0.5 END AS e FROM documents WHERE place IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, entity) <= 64 AS head FROM s)
+SELECT entity, round(CASE WHEN head THEN round(score, 6) * (0.4 + 0.9 * e) ELSE score END, 6) AS score, round(e * covered, 6) AS strength, head FROM r JOIN ev USING (entity)""")
 def evidence_rerank(spark: SparkSession, d: str) -> DataFrame:
-    s = search.score(A.document_postings(spark, d), _terms(spark, [(t, 1.0, t) for t in QUESTION]))
+    s = search.score(A.document_postings(spark, d), _terms(spark, [(t, 1.0, t) for t in QUESTION])).withColumn("score", F.round("score", 6))
     places = table(spark, d, "documents").where("place is not null").select(F.col("place").alias("entity")).distinct()
     ev = places.select("entity", F.when(F.lower("entity").rlike("|".join(QUESTION)), "topic").otherwise("mention").alias("field"))
-    return search.rerank(s, ev, 10_000).select("entity", r6("score"), r6("strength"))
+    return search.rerank(s, ev).select("entity", r6("score"), r6("strength"), "head")
 
 
 _SYN = ", ".join(f"('{t}', {p}, '{c}')" for t, p, c in search.expand_synonyms(["outage", "billing", "export"], W.SYNONYMS))
@@ -189,7 +203,7 @@ def feedback_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RANKS = """WITH l AS (SELECT * FROM (SELECT 'balance' AS list, c_custkey AS entity, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer
-UNION ALL SELECT 'orders', o_custkey, row_number() OVER (ORDER BY n DESC, o_custkey) FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)) WHERE rank <= 200) """
+UNION ALL SELECT 'orders', o_custkey, row_number() OVER (ORDER BY n DESC, o_custkey) FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1))) """
 
 
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -229,12 +243,43 @@ def direct_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT rec_id AS id, CASE WHEN lower(name) = 'hana rovnypald' THEN 1.0 ELSE 0.9 END AS strength FROM people WHERE lower(name) = 'hana rovnypald' OR (
  len(list_filter(string_split_regex(lower(name), '\\s+'), lambda p: starts_with(p, 'hana') OR (length(p) >= 4 AND levenshtein(p, 'hana') <= 1))) > 0 AND
- len(list_filter(string_split_regex(lower(name), '\\s+'), lambda p: starts_with(p, 'rovnypald') OR (length(p) >= 4 AND levenshtein(p, 'rovnypald') <= 1))) > 0)""".replace("\\\\", "\\"))
+ len(list_filter(string_split_regex(lower(name), '\\s+'), lambda p: starts_with(p, 'rovnypald') OR (length(p) >= 4 AND levenshtein(p, 'rovnypald') <= 1))) > 0)""")
 def name_match(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "people").select(F.col("rec_id").alias("id"), "name", F.coalesce("email", F.lit("")).alias("email"))
     return search.name_match(p, "Who is Hana Rovnypald?", W.NAME_PREFIXES, W.NAME_SUFFIXES)
 
 
+ASKED = "Who do I talk to about the ledger export and retries?"
+_ASK = "WITH " + A.PEOPLE_SQL.replace("{stems}", "WHEN 'ledgers' THEN 'ledger' WHEN 'exports' THEN 'export' WHEN 'exported' THEN 'export' WHEN 'exporting' THEN 'export' WHEN 'retries' THEN 'retri' WHEN 'retry' THEN 'retri' WHEN 'retried' THEN 'retri' WHEN 'talk' THEN 'talk' WHEN 'talks' THEN 'talk' WHEN 'talked' THEN 'talk' WHEN 'talking' THEN 'talk'") + """,
+h AS (SELECT * FROM post WHERE token IN ('ledger', 'export', 'retri', 'talk')), df AS (SELECT token, count(*) AS df FROM h GROUP BY 1),
+c AS (SELECT h.entity, token, 1 + ln((SELECT count(*) FROM ents) / df) AS i, CASE WHEN w > 4 THEN 4 * (1 + ln(w / 4)) ELSE w END AS cw, least(1.75, greatest(1.0, 0.25 + 0.75 * len / (SELECT avg(len) FROM len))) AS norm FROM h JOIN df USING (token) JOIN len ON len.entity = h.entity),
+sc AS (SELECT entity, round(sum(i * cw * 2.2 / (cw + 1.2 * norm)), 9) AS score, count(DISTINCT token) / (SELECT count(*) FROM df) AS covered FROM c GROUP BY 1),
+ev AS (SELECT entity, max(CASE field WHEN 'topic' THEN 1.0 WHEN 'title' THEN 0.85 WHEN 'team' THEN 0.7 ELSE 0.5 END) AS e FROM kept WHERE token IN ('ledger', 'export', 'retri', 'talk') GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, entity) <= 64 AS head FROM sc),
+bo AS (SELECT entity, head, round(CASE WHEN head THEN score * (0.4 + 0.9 * e) ELSE score END, 9) AS score, round(e * covered, 6) AS strength FROM rk JOIN ev USING (entity)),
+top AS (SELECT *, row_number() OVER (ORDER BY head DESC, score DESC, entity) AS rank FROM bo ORDER BY rank LIMIT 10)
+"""
+
+
+def _answer(spark: SparkSession, d: str) -> DataFrame:
+    x = A.people_index(spark, d)
+    return ask.ask(spark, ASKED, x["posting"], x["field"], entities=x["entity"], lens=x["length"])
+
+
+@query(_ASK + "SELECT entity, round(score, 6) AS score, strength, CASE WHEN strength >= 0.75 THEN 'strong' WHEN strength >= 0.45 THEN 'moderate' WHEN strength > 0 THEN 'weak' END AS label, rank FROM top")
+def ask_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Who knows about something: a question over the stored index of people, ranked."""
+    return _answer(spark, d).select("entity", r6("score"), "strength", "label", "rank")
+
+
+@query(_ASK + """, hit AS (SELECT DISTINCT entity, token, CASE WHEN field = 'text' THEN 'mention' ELSE field END AS field, CASE WHEN field = 'text' THEN word ELSE value END AS value FROM kept JOIN top USING (entity) WHERE token IN ('ledger', 'export', 'retri', 'talk')),
+best AS (SELECT *, row_number() OVER (PARTITION BY entity, token ORDER BY CASE field WHEN 'topic' THEN 0 WHEN 'title' THEN 1 WHEN 'team' THEN 2 ELSE 3 END, value) AS r FROM hit)
+SELECT entity, array_to_string(list_sort(list(DISTINCT field || ' ' || value)), '; ') AS reasons FROM best WHERE r = 1 GROUP BY 1""")
+def ask_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why each of them was named: the strongest field for each word of the question."""
+    return _answer(spark, d).select("entity", F.array_join("reasons", "; ").alias("reasons"))
+
+
 # --- facts, risk, ownership, places ---------------------------------------------------------------------------------
 
 
@@ -248,8 +293,8 @@ def ubiquity_mark(spark: SparkSession, d: str) -> DataFrame:
     return risk.ubiquitous(A.brand_facts(spark, d))
 
 
-_LEAD = """, tot AS (SELECT person, sum(w) AS total FROM pt WHERE w > 0 GROUP BY person),
-lead AS (SELECT topic, person, round(w / power(total, 0.5), 9) AS score, row_number() OVER (PARTITION BY topic ORDER BY round(w / power(total, 0.5), 9) DESC, person) AS rank FROM pt JOIN tot USING (person) WHERE w > 0)"""
+_LEAD = """, wk AS (SELECT person, topic, w - stated AS work FROM pt WHERE round(w - stated, 9) > 0), tot AS (SELECT person, sum(work) AS total FROM wk GROUP BY person),
+lead AS (SELECT topic, person, round(work / power(total, 0.5), 9) AS score, row_number() OVER (PARTITION BY topic ORDER BY round(work / power(total, 0.5), 9) DESC, person) AS rank FROM wk JOIN tot USING (person))"""
 _BUS = """, b0 AS (SELECT *, sum(w) OVER (PARTITION BY topic) AS total, coalesce(sum(w) OVER (PARTITION BY topic ORDER BY w DESC, person ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pt WHERE w > 0),
 bus AS (SELECT topic, round(max(total), 6) AS total, count(*) AS experts, count(*) FILTER (round(before / total, 9) < 0.8) AS bus FROM b0 GROUP BY topic),
 med AS (SELECT CASE WHEN count(*) >= 12 THEN list_sort(list(total))[CAST(floor(count(*) / 2) AS INTEGER) + 1] ELSE -1 END AS m FROM bus),
@@ -274,10 +319,10 @@ def exposure(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + A.NATION_SQL + _LEAD + _BUS + " SELECT topic, experts, CAST(bus AS BIGINT) AS bus, level FROM lead JOIN risk USING (topic) WHERE rank = 1 AND person = (SELECT min(person) FROM lead WHERE rank = 1)")
 def departure_impact(spark: SparkSession, d: str) -> DataFrame:
+    """What the first of the leaders, by id, would leave behind."""
     pt = A.nation_facts(spark, d)
-    lead = risk.leaders(pt, 1)
-    first = lead.agg(F.min("person").alias("person"))
-    return lead.join(first, ["person"]).join(risk.risk(pt), ["topic"]).select("topic", "experts", F.col("bus").cast("long").alias("bus"), "level")
+    first = risk.leaders(pt, 1).agg(F.min("person")).first()[0]
+    return risk.departure(pt, risk.risk(pt), first).select("topic", "experts", F.col("bus").cast("long").alias("bus"), "level")
 
 
 @query("WITH " + A.NATION_SQL + _BUS + " SELECT count(*) FILTER (level = 'critical') AS critical, count(*) FILTER (level = 'elevated') AS elevated, count(*) FILTER (experts = 1) AS single_point, count(*) AS topics FROM risk")
@@ -286,26 +331,47 @@ def headline_counts(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count_if(F.col("level") == "critical").alias("critical"), F.count_if(F.col("level") == "elevated").alias("elevated"), F.count_if(F.col("experts") == 1).alias("single_point"), F.count(F.lit(1)).alias("topics"))
 
 
-_OWN = """, dec AS (SELECT n_name AS topic, min(s_suppkey) AS owner FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_name, -1 FROM nation WHERE n_nationkey % 7 = 0),
-act AS (SELECT topic, person AS actual, direct AS best FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY direct DESC, round(w - stated, 9) DESC, person) AS r FROM pt WHERE direct > 0) WHERE r = 1),
-o AS (SELECT dec.topic, owner, coalesce(direct, 0) AS mine, best, actual, owner IN (SELECT person FROM pt WHERE direct > 0) AS works FROM dec LEFT JOIN pt ON pt.topic = dec.topic AND pt.person = owner LEFT JOIN act ON act.topic = dec.topic),
-areas AS (SELECT topic, owner, CASE WHEN NOT (mine <= 0 OR (best >= 4.5 AND best > mine AND actual <> owner)) THEN 'held' WHEN NOT works THEN 'silent' WHEN mine <= 0 THEN 'unworked' ELSE 'trailing' END AS standing, actual FROM o)"""
-
-
-def _declared(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    own = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("topic")).agg(F.min("s_suppkey").alias("owner"))
-    return own.unionByName(n.where("n_nationkey % 7 = 0").select(F.col("n_name").alias("topic"), F.lit(-1).cast("long").alias("owner")))
-
-
-@query("WITH " + A.NATION_SQL + _OWN + " SELECT topic, owner, standing, actual FROM areas")
+_OWN = """, dec AS (SELECT n_name AS topic, CAST(min(s_suppkey) AS VARCHAR) AS owner FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 7 <> 0 GROUP BY 1
+  UNION ALL SELECT n_name, 'owners:acme/' || lower(n_name) || '-squad' FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT n_name, 'owners:release-bot' FROM nation WHERE n_nationkey % 5 = 0
+  UNION ALL SELECT n_name, '-1' FROM nation WHERE n_nationkey % 5 = 1 AND n_nationkey % 7 <> 0),
+team AS (SELECT n_nationkey AS team, n_name AS name FROM nation WHERE n_nationkey <> 21 UNION ALL SELECT 100 + n_nationkey, n_name || ' Team' FROM nation WHERE n_nationkey = 14),
+fl AS (SELECT team, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS f FROM team), tf AS (SELECT team, f FROM fl UNION SELECT team, regexp_replace(f, 'team$', '') FROM fl),
+sq AS (SELECT owner, min(team) AS team FROM dec JOIN tf ON f = regexp_replace(regexp_replace(split_part(owner, '/', 2), '-squad$', ''), '[^a-z0-9]', '', 'g') WHERE owner LIKE '%/%' GROUP BY 1 HAVING count(DISTINCT team) = 1),
+grp AS (SELECT topic, bool_and(owner LIKE '%/%' OR owner LIKE '%-bot') AS g FROM dec GROUP BY 1),
+own AS (SELECT topic, owner FROM dec JOIN grp USING (topic) WHERE NOT g UNION SELECT topic, CAST(s_suppkey AS VARCHAR) FROM dec JOIN grp USING (topic) JOIN sq USING (owner) JOIN supplier ON s_nationkey = team WHERE g AND s_suppkey % 2 = 0),
+hd AS (SELECT person, bool_or(direct > 0) AS h FROM pt GROUP BY 1),
+wo AS (SELECT pt.*, round(w - stated, 9) AS other, CASE WHEN h THEN direct ELSE greatest(round(w - stated, 9), 0) END AS here FROM pt JOIN hd USING (person)),
+act AS (SELECT topic, person AS actual, here AS best FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY direct DESC, other DESC, person) AS r FROM wo WHERE direct > 0) WHERE r = 1),
+o AS (SELECT own.topic, list_sort(list(DISTINCT owner)) AS owners, bool_or(owner = CAST(actual AS VARCHAR)) AS leads, max(coalesce(here, 0)) AS most, bool_or(owner IN (SELECT CAST(person AS VARCHAR) FROM wo WHERE other > 0)) AS works, bool_or(coalesce(other > 0, false)) AS wh, max(best) AS best, min(actual) AS actual
+  FROM own JOIN act USING (topic) LEFT JOIN wo ON wo.topic = own.topic AND CAST(wo.person AS VARCHAR) = owner GROUP BY 1),
+areas AS (SELECT topic, array_to_string(owners, ',') AS owners, CASE WHEN leads OR NOT (most <= 0 OR (best >= 4.5 AND best > most)) THEN 'held' WHEN NOT works THEN 'silent' WHEN NOT wh THEN 'unworked' ELSE 'trailing' END AS standing, CAST(actual AS VARCHAR) AS actual FROM o
+  UNION ALL SELECT topic, '', 'group', NULL FROM grp WHERE g AND topic NOT IN (SELECT topic FROM o) AND topic IN (SELECT topic FROM act))"""
+
+
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as areas: suppliers, squads (one of two teams' name, one of no team's) and machines own them."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("topic"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("person"))
+    one = s.join(n.where("k % 7 <> 0"), ["k"]).groupBy("topic").agg(F.min("person").cast("string").alias("owner"))
+    squad = n.where("k % 7 = 0").select("topic", F.concat(F.lit("owners:acme/"), F.lower("topic"), F.lit("-squad")).alias("owner"))
+    machine = n.where("k % 5 = 0").select("topic", F.lit("owners:release-bot").alias("owner"))
+    gone = n.where("k % 5 = 1 and k % 7 <> 0").select("topic", F.lit("-1").alias("owner"))
+    teams = n.where("k <> 21").select(F.col("k").cast("long").alias("team"), F.col("topic").alias("name"))
+    teams = teams.unionByName(n.where("k = 14").select((F.col("k") + 100).cast("long").alias("team"), F.concat("topic", F.lit(" Team")).alias("name")))
+    known = risk.squad_teams(squad, teams, W.TEAM_SUFFIXES)
+    members = known.join(s.where("person % 2 = 0").select(F.col("k").cast("long").alias("team"), F.col("person").cast("string").alias("person")), ["team"]).select("owner", "person")
+    return risk.owned_areas(one.unionByName(squad).unionByName(machine).unionByName(gone), A.nation_facts(spark, d), members)
+
+
+@query("WITH " + A.NATION_SQL + _OWN + " SELECT topic, owners, standing, actual FROM areas")
 def owned_areas(spark: SparkSession, d: str) -> DataFrame:
-    return risk.owned_areas(_declared(spark, d), A.nation_facts(spark, d))
+    return _areas(spark, d).withColumn("owners", F.array_join("owners", ","))
 
 
-@query("WITH " + A.NATION_SQL + _OWN + " SELECT count(*) AS declared, count(*) FILTER (standing = 'held') AS held, count(*) FILTER (standing = 'silent') AS silent, count(*) FILTER (standing = 'unworked') AS unworked, count(*) FILTER (standing = 'trailing') AS trailing, round(1 - count(*) FILTER (standing = 'held') / count(*), 6) AS share FROM areas")
+@query("WITH " + A.NATION_SQL + _OWN + """, c AS (SELECT count(*) AS declared, count(*) FILTER (standing = 'held') AS held, count(*) FILTER (standing = 'silent') AS silent, count(*) FILTER (standing = 'unworked') AS unworked, count(*) FILTER (standing = 'trailing') AS "trailing", count(*) FILTER (standing = 'group') AS "group" FROM areas)
+SELECT *, CASE WHEN declared > "group" THEN round((silent + unworked + "trailing") / (declared - "group"), 6) ELSE 0.0 END AS share FROM c""")
 def ownership_report(spark: SparkSession, d: str) -> DataFrame:
-    return risk.ownership_report(risk.owned_areas(_declared(spark, d), A.nation_facts(spark, d)))
+    return risk.ownership_report(_areas(spark, d))
 
 
 _PLACES = """WITH w AS (SELECT place, author_email AS person, CAST(count(*) AS DOUBLE) AS n FROM documents WHERE place IS NOT NULL AND author_email IS NOT NULL GROUP BY ALL), br AS (SELECT person, sum(n) AS b FROM w GROUP BY 1),
@@ -364,25 +430,34 @@ def related_by_experts(spark: SparkSession, d: str) -> DataFrame:
     return ties.related(A.brand_facts(spark, d)).select("topic", "other", "shared", r6("overlap"))
 
 
-_SUPTIES = """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(alias)) AS a, lower(trim(canonical)) AS b FROM autojoin WHERE trim(alias) <> '' AND trim(canonical) <> '' AND confidence >= 0.95 AND lower(trim(alias)) <> lower(trim(canonical))),
+_SUPTIES = """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(alias)) AS a, lower(trim(canonical)) AS b FROM autojoin WHERE trim(alias) <> '' AND trim(canonical) <> '' AND confidence >= 0.6 AND lower(trim(alias)) <> lower(trim(canonical))),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t(id, r) AS (SELECT DISTINCT a, a FROM g UNION SELECT g.b, t.r FROM t JOIN g ON g.a = t.id AND t.r < g.b)"""
 
 
 @query(_SUPTIES + " SELECT id AS node, min(r) AS root FROM t GROUP BY id")
 def identity_cc(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.lower(F.trim("alias")), F.lower(F.trim("canonical"))
-    e = table(spark, d, "autojoin").where("confidence >= 0.95").select(a.alias("a"), b.alias("b")).where("a <> '' and b <> '' and a <> b")
+    e = table(spark, d, "autojoin").where("confidence >= 0.6").select(a.alias("a"), b.alias("b")).where("a <> '' and b <> '' and a <> b")
     return ties.components(e)
 
 
-@query(_TIES + """, lead AS (SELECT topic, person FROM (SELECT topic, person, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, person) AS r FROM work GROUP BY topic, person) WHERE r = 1), k AS (SELECT topic, CAST(substr(topic, length(topic)) AS BIGINT) % 3 AS person FROM lead),
-same AS (SELECT a, b, x.person FROM ties JOIN k x ON x.topic = a JOIN k y ON y.topic = b WHERE x.person = y.person)
-SELECT k.person AS lead, min(l.b) AS region, same.a AS topic FROM same JOIN k ON k.topic = same.a JOIN (SELECT a, b FROM same UNION SELECT a, a FROM same) l ON l.a = same.a GROUP BY ALL""")
+_CHAIN = """WITH RECURSIVE ts AS (SELECT p_partkey AS k, 't' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS topic, (p_partkey // 10) % 3 AS lead FROM part),
+tie AS (SELECT a.topic AS a, b.topic AS b FROM ts a JOIN ts b ON b.k = a.k + 1 WHERE a.k % 10 <> 6), same AS (SELECT a, b FROM tie JOIN ts x ON x.topic = a JOIN ts y ON y.topic = b WHERE x.lead = y.lead),
+e AS (SELECT a, b FROM same UNION SELECT b, a FROM same), r(t, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.t AND r.root < e.b), m AS (SELECT t, min(root) AS region FROM r GROUP BY 1)
+SELECT lead, region, t AS topic FROM m JOIN ts ON ts.topic = t WHERE region IN (SELECT region FROM m GROUP BY 1 HAVING count(*) >= 3)"""
+
+
+@query(_CHAIN)
 def regions_cc(spark: SparkSession, d: str) -> DataFrame:
-    """Regions under three leads: every pair of brands is tied, so a lead's brands form one region."""
-    t = _ties(spark, d)
-    lead = table(spark, d, "part").select(F.col("p_brand").alias("topic")).distinct().withColumn("person", F.expr("cast(substring(topic, length(topic)) as bigint) % 3"))
-    return ties.regions(t, lead, 1)
+    """Subjects tied in chains, ten under one lead, with a gap in each chain: regions of seven and of three, whose ends
+    only components join; the pairs at the ends of the table are too small for one."""
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("t"), F.lpad(c.cast("string"), 8, "0"))
+    parts = table(spark, d, "part").select("p_partkey")
+    nxt = parts.select((k - 1).alias("p_partkey"))
+    tie = parts.where("p_partkey % 10 <> 6").join(nxt, ["p_partkey"]).select(name(k).alias("a"), name(k + 1).alias("b"))
+    both = tie.unionByName(tie.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return ties.regions(both, parts.select(name(k).alias("topic"), F.expr("(p_partkey div 10) % 3").alias("person")))
 
 
 @query("""WITH work AS (SELECT row_id AS unit, unnest([upper(matter), lower(service)]) AS topic, who FROM (SELECT row_id, split_part(assignee_email, '@', 1) AS matter, service_name AS service, assignee_email AS who FROM pd_incidents WHERE service_name IS NOT NULL AND assignee_email IS NOT NULL)),
@@ -434,7 +509,8 @@ def standout(spark: SparkSession, d: str) -> DataFrame:
     return vectors.standout(near).select("vec_id", "score", F.round("standout", 4).alias("standout"))
 
 
-@query("SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127.0 AS scale, list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / (list_max(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE)))) / 127.0)) AS BIGINT))) AS total FROM embeddings".replace("AS scale", "AS scale0").replace("SELECT vec_id, list_max", "SELECT vec_id, round(list_max").replace("/ 127.0 AS scale0", "/ 127.0, 9) AS scale").replace("list_sum(", "CAST(list_sum(").replace(") AS total", ") AS BIGINT) AS total"))
+@query("""WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127.0 AS scale FROM embeddings)
+SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / scale) AS BIGINT))) AS BIGINT) AS total FROM e""")
 def quantize(spark: SparkSession, d: str) -> DataFrame:
     q, scale = vectors.quantise(F.col("embedding"))
     e = table(spark, d, "embeddings").select("vec_id", q.alias("q"), F.round(scale, 9).alias("scale"))
@@ -494,7 +570,8 @@ def graph_diff(spark: SparkSession, d: str) -> DataFrame:
     return b.join(a, ["k"], "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, ["k"], "left_anti").withColumn("change", F.lit("removed")))
 
 
-@query("SELECT lower(trim(email)) AS address, name FROM (SELECT email, name, row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY count(*) DESC, name) AS r FROM people WHERE email LIKE '%@%' AND name IS NOT NULL GROUP BY email, name) WHERE false".replace("WHERE false", "WHERE r = 1").replace("SELECT email, name, row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY count(*) DESC, name) AS r FROM people WHERE email LIKE '%@%' AND name IS NOT NULL GROUP BY email, name", "SELECT email, name, row_number() OVER (PARTITION BY email ORDER BY n DESC, name) AS r FROM (SELECT lower(trim(email)) AS email, name, count(*) AS n FROM people WHERE email LIKE '%@%' AND name IS NOT NULL GROUP BY ALL)"))
+@query("""SELECT address, name FROM (SELECT address, name, row_number() OVER (PARTITION BY address ORDER BY n DESC, name) AS r
+FROM (SELECT lower(trim(email)) AS address, name, count(*) AS n FROM people WHERE email LIKE '%@%' AND name IS NOT NULL GROUP BY ALL)) WHERE r = 1""")
 def modal_name(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -502,7 +579,7 @@ def modal_name(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("r", F.row_number().over(Window.partitionBy("address").orderBy(F.desc("n"), "name"))).where("r = 1").select("address", "name")
 
 
-@query("SELECT p_brand AS topic, count(DISTINCT o_custkey) AS holders, count(*) AS uses, max(o_orderdate) AS last_at FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1".replace("max(o_orderdate)", "max(l_shipdate)"))
+@query("SELECT p_brand AS topic, count(DISTINCT o_custkey) AS holders, count(*) AS uses, max(l_shipdate) AS last_at FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def directory_topics(spark: SparkSession, d: str) -> DataFrame:
     return A.brand_work(spark, d).groupBy("topic").agg(F.count_distinct("person").alias("holders"), F.count(F.lit(1)).alias("uses"), F.max("at").alias("last_at"))
 
@@ -563,12 +640,14 @@ def vocab_lift(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("lift"), "token"))).where("r <= 6").select("entity", "token", "lift")
 
 
-@query("""WITH m AS (SELECT rec_id, lower(trim(name)) AS name, lower(trim(email)) AS email, lower(trim(commit_name)) AS cn, lower(trim(commit_email)) AS ce FROM mailmap),
-c AS (SELECT ce, min(email) AS email FROM m WHERE ce IS NOT NULL AND email IS NOT NULL GROUP BY 1) SELECT m.rec_id, coalesce(c.email, m.ce, m.email) AS canonical FROM m LEFT JOIN c ON c.ce = m.ce""")
+@query("""WITH m AS (SELECT rec_id, name, email, commit_name, commit_email, lower(commit_email) AS e, lower(commit_name) AS n FROM mailmap WHERE name IS NOT NULL AND email IS NOT NULL),
+both_ AS (SELECT e, n, min({'a': email, 'b': name}) AS s FROM m WHERE n IS NOT NULL GROUP BY 1, 2), alone AS (SELECT e, min({'a': email, 'b': name}) AS s FROM m WHERE n IS NULL GROUP BY 1)
+SELECT rec_id, coalesce(both_.s.b, alone.s.b, commit_name) AS name, coalesce(both_.s.a, alone.s.a, commit_email) AS email FROM mailmap x LEFT JOIN both_ ON both_.e = lower(x.commit_email) AND both_.n = lower(x.commit_name) LEFT JOIN alone ON alone.e = lower(x.commit_email)""")
 def mailmap_resolve(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "mailmap").select("rec_id", F.lower(F.trim("email")).alias("email"), F.lower(F.trim("commit_email")).alias("ce"))
-    c = m.where("ce is not null and email is not null").groupBy("ce").agg(F.min("email").alias("to"))
-    return m.join(c, ["ce"], "left").select("rec_id", F.coalesce("to", "ce", "email").alias("canonical"))
+    """Every commit identity under its proper name and address, by the whole files."""
+    m = table(spark, d, "mailmap")
+    proper = m.where("name is not null and email is not null").select(F.col("name").alias("proper_name"), F.col("email").alias("proper_email"), "commit_name", "commit_email")
+    return records.mailmap_resolve(m.select("rec_id", F.col("commit_name").alias("name"), F.col("commit_email").alias("email")), proper).select("rec_id", "name", "email")
 
 
 @query("SELECT source, max(created_at) AS cursor_at FROM documents WHERE created_at IS NOT NULL GROUP BY 1")
@@ -589,12 +668,12 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     return p.join(boss, F.lower(F.trim("manager")) == F.col("e"), "left").select("rec_id", "boss", "team", "org")
 
 
-@query("""WITH f AS (SELECT regexp_replace(lower(team), '[^a-z0-9]', '', 'g') AS flat, team FROM (SELECT DISTINCT team FROM people WHERE team IS NOT NULL)), s AS (SELECT DISTINCT 'acme/' || lower(replace(trim(team), ' ', '-')) || '-squad' AS squad, regexp_replace(lower(team), '[^a-z0-9]', '', 'g') AS form FROM people WHERE team IS NOT NULL)
-SELECT squad, min(team) AS team, count(*) AS spellings FROM s JOIN f ON f.flat = s.form GROUP BY 1""")
+@query("""WITH f AS (SELECT team, regexp_replace(lower(team), '[^a-z0-9]', '', 'g') AS flat FROM (SELECT DISTINCT team FROM people WHERE team IS NOT NULL)),
+g AS (SELECT team, flat AS form FROM f UNION SELECT team, CASE WHEN flat LIKE '%squad' THEN flat[:-6] WHEN flat LIKE '%team' THEN flat[:-5] WHEN flat LIKE '%group' THEN flat[:-6] WHEN flat LIKE '%crew' THEN flat[:-5] WHEN flat LIKE '%engineering' THEN flat[:-12] WHEN flat LIKE '%eng' THEN flat[:-4] WHEN flat LIKE '%developers' THEN flat[:-11] WHEN flat LIKE '%dev' THEN flat[:-4] END FROM f),
+s AS (SELECT DISTINCT 'owners:acme/' || lower(replace(trim(team), ' ', '-')) || '-squad' AS owner, regexp_replace(lower(team), '[^a-z0-9]', '', 'g') AS form FROM f)
+SELECT owner, min(team) AS team FROM s JOIN g USING (form) WHERE form <> '' GROUP BY 1 HAVING count(DISTINCT team) = 1""")
 def squad_teams(spark: SparkSession, d: str) -> DataFrame:
-    """Squads of an ownership file matched to the org chart's teams by flattened name without its decoration."""
+    """Squads of an ownership file with the one team of the org chart that each means; spellings of one team are several."""
     t = table(spark, d, "people").where("team is not null").select("team").distinct()
-    flat = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    squads = t.select(F.concat(F.lit("acme/"), F.lower(F.replace(F.trim("team"), F.lit(" "), F.lit("-"))), F.lit("-squad")).alias("squad")).distinct()
-    forms = squads.withColumn("form", F.regexp_replace(flat(F.substring_index("squad", "/", -1)), f"({'|'.join(W.TEAM_SUFFIXES)})$", ""))
-    return forms.join(t.withColumn("form", flat(F.col("team"))), ["form"]).groupBy("squad").agg(F.min("team").alias("team"), F.count(F.lit(1)).alias("spellings"))
+    squads = t.select(F.concat(F.lit("owners:acme/"), F.lower(F.replace(F.trim("team"), F.lit(" "), F.lit("-"))), F.lit("-squad")).alias("owner"))
+    return risk.squad_teams(squads, t.select("team", F.col("team").alias("name")), W.TEAM_SUFFIXES)

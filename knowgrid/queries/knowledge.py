@@ -65,14 +65,14 @@ def identity_ledger(spark: SparkSession, d: str) -> DataFrame:
     return identity.infer(_people(spark, d).unionByName(_handles(spark, d).select("id", F.col("id").alias("name"), F.lit(None).cast("string").alias("email"))))
 
 
-_CC = """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(alias)) AS a, lower(trim(canonical)) AS b FROM autojoin WHERE trim(alias) <> '' AND trim(canonical) <> '' AND confidence >= 0.95 AND lower(trim(alias)) <> lower(trim(canonical))),
+_CC = """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(alias)) AS a, lower(trim(canonical)) AS b FROM autojoin WHERE trim(alias) <> '' AND trim(canonical) <> '' AND confidence >= 0.6 AND lower(trim(alias)) <> lower(trim(canonical))),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t(id, r) AS (SELECT DISTINCT a, a FROM g UNION SELECT g.b, t.r FROM t JOIN g ON g.a = t.id AND t.r < g.b), c AS (SELECT id, min(r) AS root FROM t GROUP BY 1)"""
 
 
 @query(_CC + " SELECT c.id AS alias, list_sort(list_transform(list(c2.id), lambda x: CASE WHEN x LIKE '%@%' THEN '0' WHEN x LIKE '%:%' THEN '2' ELSE '1' END || x))[1][2:] AS canonical FROM c JOIN c c2 USING (root) GROUP BY c.id")
 def identity_aliases(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.lower(F.trim("alias")), F.lower(F.trim("canonical"))
-    return identity.aliases(table(spark, d, "autojoin").where("confidence >= 0.95").select(a.alias("a"), b.alias("b")).where("a <> '' and b <> '' and a <> b"))
+    return identity.aliases(table(spark, d, "autojoin").where("confidence >= 0.6").select(a.alias("a"), b.alias("b")).where("a <> '' and b <> '' and a <> b"))
 
 
 @query(f"WITH w AS (SELECT assignee_email AS a, reporter_email AS r, components AS c, project_key AS p, {_TITLE.replace('title', 'summary')} AS t FROM fakeapi), x AS (SELECT unnest(list_distinct(list_filter([a, r], lambda z: z IS NOT NULL))) AS person, * FROM w), y AS (SELECT person, trim(regexp_replace(lower(c), '[^a-z0-9]+', '-', 'g'), '-') AS topic, true AS stated FROM x WHERE c IS NOT NULL UNION ALL SELECT person, unnest(CASE WHEN len(t) >= 2 THEN list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '-' || t[i + 1])) ELSE t END), false FROM x UNION ALL SELECT person, lower(p), false FROM x WHERE p IS NOT NULL) SELECT person, topic, stated, count(*) AS n FROM y WHERE topic <> '' GROUP BY ALL")
@@ -105,8 +105,8 @@ def related_families(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.collapse_family(ties.strongest(_ties(spark, d)), "a", "b", [F.desc("weight"), F.col("b")])
 
 
-@query("""WITH w AS (SELECT source AS place, author_email AS person, CAST(count(*) AS DOUBLE) AS n FROM documents WHERE author_email IS NOT NULL GROUP BY ALL), e AS (SELECT DISTINCT d.source AS place, n.author_email AS person, n.incident_id FROM pd_notes n JOIN documents d ON d.doc_id % 50 = CAST(substr(md5(n.incident_id), 1, 1) = '0' AS INTEGER) WHERE false)
-SELECT place, person, sum(n) AS n FROM (SELECT * FROM w UNION ALL SELECT DISTINCT s.source, n.author_email, 0.5 FROM pd_notes n, (SELECT DISTINCT source FROM documents WHERE source = 'pagerduty') s WHERE n.author_email IS NOT NULL) GROUP BY ALL""".replace(", e AS (SELECT DISTINCT d.source AS place, n.author_email AS person, n.incident_id FROM pd_notes n JOIN documents d ON d.doc_id % 50 = CAST(substr(md5(n.incident_id), 1, 1) = '0' AS INTEGER) WHERE false)", ""))
+@query("""WITH w AS (SELECT source AS place, author_email AS person, CAST(count(*) AS DOUBLE) AS n FROM documents WHERE author_email IS NOT NULL GROUP BY ALL)
+SELECT place, person, sum(n) AS n FROM (SELECT * FROM w UNION ALL SELECT DISTINCT s.source, n.author_email, 0.5 FROM pd_notes n, (SELECT DISTINCT source FROM documents WHERE source = 'pagerduty') s WHERE n.author_email IS NOT NULL) GROUP BY ALL""")
 def review_credit(spark: SparkSession, d: str) -> DataFrame:
     """Work on places plus half a credit for whoever wrote notes on incidents."""
     docs = table(spark, d, "documents")
@@ -128,9 +128,9 @@ def conversation_ends(spark: SparkSession, d: str) -> DataFrame:
     return conversations.both_ends(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "ts")
 
 
-@query("SELECT place, doc_id FROM (SELECT place, doc_id, row_number() OVER (PARTITION BY place ORDER BY created_at DESC NULLS LAST, doc_id) AS r FROM documents WHERE place IS NOT NULL) WHERE r <= 20")
+@query("SELECT place, doc_id FROM (SELECT place, doc_id, row_number() OVER (PARTITION BY place ORDER BY created_at DESC NULLS LAST, doc_id) AS r FROM documents WHERE place IS NOT NULL) WHERE r <= 200")
 def newest_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.newest(table(spark, d, "documents").where("place is not null"), "place", "created_at", "doc_id", 20).select("place", "doc_id")
+    return conversations.newest(table(spark, d, "documents").where("place is not null"), "place", "created_at", "doc_id").select("place", "doc_id")
 
 
 @query("SELECT place, doc_id FROM (SELECT place, doc_id, coalesce(sum(strlen(text)) OVER (PARTITION BY place ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE place IS NOT NULL) WHERE b < 8000")

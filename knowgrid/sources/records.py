@@ -63,7 +63,7 @@ def owners_file(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``pattern owner…`` to ``pattern, owner``; comments and ``[section]`` headings are skipped."""
     line = F.trim(F.regexp_replace("value", r"(^|\s)#.*$", ""))
     p = spark.read.text(path).select(F.split(line, r"\s+").alias("p")).where(F.element_at("p", 1) != "").where(~F.element_at("p", 1).rlike(r"^\^?\["))
-    return p.select(F.element_at("p", 1).alias("pattern"), F.explode(F.filter(F.slice("p", 2, 1000), lambda o: o.contains("@"))).alias("owner"))
+    return p.select(F.element_at("p", 1).alias("pattern"), F.explode(F.filter(F.slice(F.col("p"), F.lit(2), F.size("p")), lambda o: o.contains("@"))).alias("owner"))
 
 
 def owners(spark: SparkSession, path: str) -> DataFrame:
@@ -77,13 +77,14 @@ def owners(spark: SparkSession, path: str) -> DataFrame:
 def mailmap_resolve(rows: DataFrame, mailmap: DataFrame) -> DataFrame:
     """``rows`` (``name, email``) under proper names: by commit name and address first, then by address alone.
 
-    ``mailmap`` is ``proper_name, proper_email, commit_name, commit_email``.
+    ``mailmap`` is ``proper_name, proper_email, commit_name, commit_email``; of several lines for one key the one with
+    the smallest address, then name, holds.
     """
     m = mailmap.select(F.lower("commit_email").alias("_e"), F.lower("commit_name").alias("_n"), "proper_name", "proper_email")
-    both = m.where("_n is not null").groupBy("_e", "_n").agg(F.first("proper_name").alias("_bn"), F.first("proper_email").alias("_be"))
-    alone = m.where("_n is null").groupBy("_e").agg(F.first("proper_name").alias("_an"), F.first("proper_email").alias("_ae"))
+    both = m.where("_n is not null").groupBy("_e", "_n").agg(F.min(F.struct("proper_email", "proper_name")).alias("_b"))
+    alone = m.where("_n is null").groupBy("_e").agg(F.min(F.struct("proper_email", "proper_name")).alias("_a"))
     r = rows.withColumn("_e", F.lower("email")).withColumn("_n", F.lower("name")).join(both, ["_e", "_n"], "left").join(alone, ["_e"], "left")
-    return r.withColumn("name", F.coalesce("_bn", "_an", "name")).withColumn("email", F.coalesce("_be", "_ae", "email")).drop("_e", "_n", "_bn", "_be", "_an", "_ae")
+    return r.withColumn("name", F.coalesce("_b.proper_name", "_a.proper_name", "name")).withColumn("email", F.coalesce("_b.proper_email", "_a.proper_email", "email")).drop("_e", "_n", "_b", "_a")
 
 
 def commit_work(commits: DataFrame, max_dirs: int = 18, max_root_files: int = 100) -> DataFrame:
@@ -102,7 +103,7 @@ def commit_work(commits: DataFrame, max_dirs: int = 18, max_root_files: int = 10
 def dir_work(commits: DataFrame) -> DataFrame:
     """``place, person, n``: commits of a person under every directory prefix of the paths they touch."""
     parts = lambda p: F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1)
-    prefixes = lambda p: F.transform(F.filter(F.sequence(F.lit(1), F.lit(32)), lambda i: i <= F.size(parts(p))), lambda i: F.concat_ws("/", F.slice(parts(p), F.lit(1), i)))
+    prefixes = lambda p: F.transform(F.when(F.size(parts(p)) > 0, F.sequence(F.lit(1), F.size(parts(p)))).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws("/", F.slice(parts(p), F.lit(1), i)))
     c = commits.select("hash", F.col("email").alias("person"), F.array_distinct(F.flatten(F.transform("paths", prefixes))).alias("d"))
     return c.select("hash", "person", F.explode("d").alias("place")).groupBy("place", "person").agg(F.count(F.lit(1)).alias("n"))
 

@@ -51,6 +51,13 @@ PROCESS_LABELS = (
 )
 
 # What a team's name carries at its end.
+# Surnames too common to say who somebody is.
+COMMON_SURNAMES = (
+    "singh kumar sharma patel gupta smith jones brown davis miller wilson moore taylor thomas martin garcia martinez rodriguez lopez gonzalez hernandez perez sanchez "
+    "muller schmidt schneider fischer weber meyer wagner nguyen silva santos oliveira souza ivanov petrov murphy kelly walsh novak kowalski nowak andersson johansson "
+    "hansen jensen nielsen yilmaz johnson williams anderson jackson white harris thompson robinson clark lewis walker young allen wright scott green adams baker"
+).split()
+
 TEAM_SUFFIXES = ("squad", "team", "group", "crew", "eng", "engineering", "dev", "developers")
 
 # How a question wraps a name.

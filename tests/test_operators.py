@@ -76,9 +76,34 @@ def test_bus_factor_on_the_edge(spark):
 
 def test_owned_areas(spark):
     pt = spark.createDataFrame([("a", "x", 9.0, 0.0, 3.0), ("b", "x", 9.0, 0.0, 9.0), ("a", "y", 3.0, 0.0, 3.0), ("c", "z", 3.0, 0.0, 3.0)], "person string, topic string, w double, stated double, direct double")
-    dec = spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "a"), ("z", "nobody")], "topic string, owner string")
-    got = {(r.topic, r.owner): r.standing for r in risk.owned_areas(dec, pt).collect()}
-    assert got == {("x", "a"): "trailing", ("y", "a"): "held", ("z", "a"): "unworked", ("z", "nobody"): "silent"}
+    dec = spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "a"), ("z", "nobody"), ("empty", "a")], "topic string, owner string")
+    got = {r.topic: (r.standing, r.actual, r.owners) for r in risk.owned_areas(dec, pt).collect()}
+    assert got == {"x": ("trailing", "b", ["a"]), "y": ("held", "a", ["a"]), "z": ("unworked", "c", ["a", "nobody"])}
+    lone = spark.createDataFrame([("z", "nobody")], "topic string, owner string")
+    assert [r.standing for r in risk.owned_areas(lone, pt).collect()] == ["silent"]
+    report = risk.ownership_report(risk.owned_areas(dec, pt)).first()
+    assert (report.declared, report.held, report.trailing, report.unworked, report.share) == (3, 1, 1, 1, 0.666667)
+
+
+def test_areas_of_groups(spark):
+    pt = spark.createDataFrame([("a", t, 9.0, 0.0, 9.0) for t in ("x", "y", "z", "v")] + [("b", "x", 6.0, 0.0, 6.0)], "person string, topic string, w double, stated double, direct double")
+    dec = spark.createDataFrame([("x", "owners:acme/alerts-squad"), ("y", "owners:acme/twins-team"), ("z", "owners:renovate-bot"), ("v", "owners:acme/alerts-squad"), ("v", "talbot")], "topic string, owner string")
+    teams = spark.createDataFrame([(1, "Alerts"), (2, "Twins"), (3, "twins group"), (4, "")], "team int, name string")
+    known = risk.squad_teams(dec, teams, ("squad", "team", "group"))
+    assert [tuple(r) for r in known.collect()] == [("owners:acme/alerts-squad", 1)]
+    squads = known.select("owner").crossJoin(spark.createDataFrame([("b",)], "person string"))
+    got = {r.topic: (r.standing, r.actual) for r in risk.owned_areas(dec, pt, squads).collect()}
+    assert got == {"x": ("trailing", "a"), "y": ("group", None), "z": ("group", None), "v": ("silent", "a")}
+    assert risk.ownership_report(risk.owned_areas(dec, pt, squads)).first().share == 1.0
+
+
+def test_stated_weight_is_no_work_and_ranks_keep_their_tail(spark):
+    pt = spark.createDataFrame([("a", "x", 9.0, 9.0), ("b", "x", 4.0, 1.0)], "person string, topic string, w double, stated double")
+    assert [r.person for r in risk.leaders(pt).collect()] == ["b"]
+    scored = spark.createDataFrame([(f"e{i:03}", float(200 - i), 1.0) for i in range(100)], "entity string, score double, covered double")
+    ev = spark.createDataFrame([("e063", "topic"), ("e064", "topic")], "entity string, field string")
+    got = {r.entity: (r.score, r["head"]) for r in search.rerank(scored, ev).collect()}
+    assert len(got) == 100 and got["e063"] == (137.0 * 1.3, True) and got["e064"] == (136.0, False)
 
 
 def test_ties_and_regions(spark):

@@ -147,8 +147,9 @@ class LeakFinder:
             return []
         joined = " " + " ".join(words) + " "
         hits: dict[int, list[tuple[int, int]]] = {}
-        for at, p in self.search.find(joined):
-            place = joined.count(" ", 0, at)
+        place = seen = 0
+        for at, p in self.search.find(joined):  # in order of place
+            place, seen = place + joined.count(" ", seen, at), at
             for i, k in self.search.patterns[p]:
                 hits.setdefault(i, []).append((place - k, k))
         out = []

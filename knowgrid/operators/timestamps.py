@@ -141,14 +141,17 @@ def normalise(values: DataFrame, sites: DataFrame, keep: tuple[str, ...], day_sl
     values = values.select(*dict.fromkeys((*keep, "value", "site", "ingested_us")))
     declared = sites.select("site", F.col("time_zone").alias("_declared"), F.col("day_first").alias("_day_first"))
     parsed = parse_wall(values.join(declared, ["site"], "left").withColumn("_day_first", F.coalesce("_day_first", F.lit(False))), "value", "_day_first")
-    unknown = parse_wall(
-        values.withColumn("site", F.coalesce("site", F.lit(""))).join(declared, ["site"], "left_anti").withColumn("_day_first", F.lit(False)), "value", "_day_first"
-    )
-    unknown = unknown.where("_wall is not null and _offset is null and ingested_us is not null")
-    histories = sites.select(F.col("time_zone").alias("zone")).distinct()
-    lost = unknown.select("site").distinct()
-    found = align_zones(unknown.select("site", "_wall", "ingested_us"), lost.crossJoin(histories), "site", day_slack_us)
-    parsed = parsed.join(found.select(F.col("site").alias("_s"), F.col("zone").alias("_found")), F.coalesce(parsed["site"], F.lit("")) == F.col("_s"), "left")
+    # A scan of the sites alone tells whether any has to be aligned; as a rule none has.
+    lost = values.select(F.coalesce("site", F.lit("")).alias("site")).distinct().join(declared, ["site"], "left_anti")
+    if lost.isEmpty():
+        parsed = parsed.withColumn("_found", F.lit(None).cast("string"))
+    else:
+        strays = values.withColumn("site", F.coalesce("site", F.lit(""))).join(declared, ["site"], "left_anti").withColumn("_day_first", F.lit(False))
+        unknown = parse_wall(strays, "value", "_day_first").where("_wall is not null and _offset is null and ingested_us is not null")
+        # Every stray site under every declared history: as many rows as sites times zones, not as readings.
+        histories = sites.select(F.col("time_zone").alias("zone")).distinct()
+        found = align_zones(unknown.select("site", "_wall", "ingested_us"), lost.crossJoin(histories), "site", day_slack_us)
+        parsed = parsed.join(found.select(F.col("site").alias("_s"), F.col("zone").alias("_found")), F.coalesce(parsed["site"], F.lit("")) == F.col("_s"), "left")
     zone = F.coalesce("_declared", "_found", F.lit("UTC"))
     utc = F.when(F.col("_instant").isNotNull(), F.col("_instant")).when(F.col("_offset").isNotNull(), F.col("_wall") - F.col("_offset")).when(F.col("_wall").isNotNull(), to_utc(F.col("_wall"), zone))
     return parsed.select(*keep, utc.alias("utc_us"))

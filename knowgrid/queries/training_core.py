@@ -103,6 +103,14 @@ r AS (SELECT raw_id, CASE WHEN sound IS NULL THEN 'columns' WHEN NOT sound THEN
 SELECT raw_id, reason FROM r WHERE reason IS NOT NULL
 """
 
+_F = r"(\"(?:[^\"]|\"\")*\"|[^\",]*)"
+_EXTRACT = r"regexp_extract(s, '\A" + ",".join([_F] * 7) + r"\z', {0})"
+_P3_PEOPLE_SQL = _P3_SQL.rsplit("SELECT raw_id, reason FROM r", 1)[0] + rf""",
+g AS (SELECT raw_id, [{', '.join(_EXTRACT.format(i) for i in range(1, 8))}] AS v FROM q WHERE raw_id IN (SELECT raw_id FROM r WHERE reason IS NULL)),
+w AS (SELECT raw_id, list_transform(v, lambda x: nullif(trim(CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '')) AS c FROM g)
+SELECT raw_id, c[1] AS name, c[2] AS email, c[3] AS title, c[4] AS team, c[5] AS org, c[6] AS manager, c[7] AS topics FROM w
+"""
+
 _LINES_SQL = r"""
 raw AS (SELECT rec_id, loaded_at, [email, manager] AS a FROM people),
 n AS (SELECT rec_id, loaded_at, list_transform(a, lambda x: lower(trim(CASE WHEN regexp_extract(x, '<([^<>]*)>', 1) <> '' THEN regexp_extract(x, '<([^<>]*)>', 1) ELSE x END, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))) AS b FROM raw),
@@ -135,4 +143,4 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_errors": p7_errors,
 }
-ORACLE = {"p3_found": _P3_SQL, "p6_found": _P6_SQL, "p6_ranges": _P6_RANGES_SQL, "p6_descendants": _P6_DESC_SQL}
+ORACLE = {"p3_found": _P3_SQL, "p3_people": _P3_PEOPLE_SQL, "p6_found": _P6_SQL, "p6_ranges": _P6_RANGES_SQL, "p6_descendants": _P6_DESC_SQL}

@@ -34,6 +34,16 @@ def leaders(pt: DataFrame, k: int = 3, exponent: float = 0.5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("topic", "person", "score", "rank")
 
 
+def top_topics(pt: DataFrame, salient: DataFrame, n: int = 3) -> DataFrame:
+    """``person, topic, w, rank``: each person's ``n`` heaviest topics, of the salient ones (``topic``) where the person has
+    any, else of all; equal weights by name."""
+    mark = pt.where("w > 0").select("person", "topic", "w").join(salient.select("topic").distinct().withColumn("_s", F.lit(True)), ["topic"], "left").withColumn("_s", F.coalesce("_s", F.lit(False)))
+    has = mark.groupBy("person").agg(F.bool_or("_s").alias("_has"))
+    kept = mark.join(has, ["person"]).where("_s or not _has")
+    order = Window.partitionBy("person").orderBy(F.desc("w"), "topic")
+    return kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("person", "topic", "w", "rank")
+
+
 def ranked_prefix(df: DataFrame, group: str, value: str, tie: str, amount: str | None = None) -> DataFrame:
     """``df`` with ``before`` (sum of ``amount``, or of ``value``, of the group's rows that rank before) and ``total``.
 

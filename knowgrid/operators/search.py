@@ -163,6 +163,22 @@ def direct_search(people: DataFrame, query: str) -> DataFrame:
     return people.select("id", s.alias("score"), kinds.alias("matched")).where("score > 0")
 
 
+def suggest(people: DataFrame, question: str, k: int = 20, least: int = 3) -> DataFrame:
+    """``id, score, matched`` for a question that found nothing: each of its words of ``least`` letters or more looked up by
+    itself, everyone with their best word; of equal ones the first in the alphabet."""
+    import re
+
+    words = [w for w in dict.fromkeys(re.findall(r"\w+", question.lower())) if len(w) >= least]
+    found = None
+    for w in words:  # the words of one line
+        hit = direct_search(people, w)
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        return direct_search(people, "").limit(0)
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "matched")).alias("b"))
+    return best.select("id", (-F.col("b.s")).alias("score"), F.col("b.matched").alias("matched")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def name_match(people: DataFrame, question: str, prefixes: tuple[str, ...], suffixes: tuple[str, ...]) -> DataFrame:
     """``id, strength`` of the people a question names: whole name 1.0, address or its local part 0.95, every word a
     prefix or (from four letters) one edit away from a part of the name 0.9."""

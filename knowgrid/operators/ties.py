@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowgrid.functions.text import same_family
 from knowgrid.session import materialise
 
 #: Subjects of a unit of work that pairs are made from, at most: larger units say nothing about any pair.
 MAX_SUBJECTS, LEAST_ITEMS, LEAST_SEEN, KEEP = 18, 3, 5, 12
 
 
+def units(work: DataFrame, max_subjects: int = MAX_SUBJECTS) -> DataFrame:
+    """``unit, t, who``: the subjects of each unit of work (``unit, topic, who``) that has two to ``max_subjects`` of them.
+
+    Larger units are about no pair in particular. Pairs and counts both come from this one aggregation.
+    """
+    u = work.groupBy("unit").agg(F.array_sort(F.collect_set("topic")).alias("t"), F.min("who").alias("who"))
+    return u.where(F.size("t").between(2, max_subjects))
+
+
+def _units(work: DataFrame, max_subjects: int) -> DataFrame:
+    return work if "t" in work.columns else units(work, max_subjects)
+
+
 def cooccurrence(work: DataFrame, max_subjects: int = MAX_SUBJECTS) -> DataFrame:
-    """``a, b, n, witnesses, sole`` of unordered subject pairs from ``unit, topic, who``.
+    """``a, b, n, witnesses, one`` of unordered subject pairs from ``unit, topic, who`` (or from ``units``).
 
-    A unit with two to ``max_subjects`` distinct subjects makes at most 153 pairs, so no unit, however hot, can blow
-    up; larger ones make none. Pairs are made in the row that holds a unit's subjects, without a join.
+    A unit makes at most 153 pairs, so no unit, however hot, can blow up. Pairs are made in the row that holds a
+    unit's subjects, without a join. Names of one family are no pair.
     """
-    unit = work.groupBy("unit").agg(F.array_sort(F.collect_set("topic")).alias("t"), F.min("who").alias("who")).where(F.size("t").between(2, max_subjects))
+    unit = _units(work, max_subjects)
     pairs = unit.select("who", F.explode("t").alias("a"), "t").select("who", "a", F.explode(F.filter("t", lambda x: x > F.col("a"))).alias("b"))
+    pairs = pairs.where(~same_family(F.col("a"), F.col("b")))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("who").alias("witnesses"), F.min("who").alias("one"))
 
 
@@ -28,7 +43,7 @@ def weigh(pairs: DataFrame, work: DataFrame, max_share: float = 0.35, max_subjec
     Pairs seen three times, subjects seen five times, and subjects in more than ``max_share`` of 200 or more units
     are left out.
     """
-    unit = work.groupBy("unit").agg(F.collect_set("topic").alias("t")).where(F.size("t").between(2, max_subjects))
+    unit = _units(work, max_subjects)
     seen = unit.select(F.explode("t").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("seen"))
     items = unit.agg(F.count(F.lit(1)).alias("items"))
     ok = seen.crossJoin(items).where((F.col("seen") >= LEAST_SEEN) & ((F.col("items") < 200) | (F.col("seen") <= max_share * F.col("items"))))
@@ -39,6 +54,52 @@ def weigh(pairs: DataFrame, work: DataFrame, max_share: float = 0.35, max_subjec
     return w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "witnesses", "sole"))
 
 
+def drop_spread(ties: DataFrame, work: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
+    """Without subjects that more than ``share`` of all containers (``topic, container``) have, if there are ``least`` or
+    more: what is everywhere says nothing about what belongs together."""
+    seen = work.where("container is not null").select("topic", "container").distinct()
+    total = seen.agg(F.count_distinct("container").alias("total"))
+    wide = seen.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).crossJoin(total).where((F.col("total") >= least) & (F.col("n") > share * F.col("total")))
+    return ties.join(wide.select(F.col("topic").alias("a")), ["a"], "left_anti").join(wide.select(F.col("topic").alias("b")), ["b"], "left_anti")
+
+
+def standing_only(ties: DataFrame, standing: DataFrame) -> DataFrame:
+    """Ties with a name that stands by itself (``topic``) on one side at least; all of them where no such name is known."""
+    names = standing.select("topic").distinct().withColumn("_is", F.lit(True))
+    any_ = names.agg((F.count(F.lit(1)) > 0).alias("_any"))
+    j = ties.join(names.select(F.col("topic").alias("a"), F.col("_is").alias("_a")), ["a"], "left").join(names.select(F.col("topic").alias("b"), F.col("_is").alias("_b")), ["b"], "left").crossJoin(any_)
+    return j.where("not _any or _a or _b").select(*ties.columns)
+
+
+def strongest_claim(claims: DataFrame) -> DataFrame:
+    """``a, b, weight, witnesses, sole, source``: of what several sources say about a pair the strongest, whole; of equal
+    ones that of the smaller source name. Claims of a subject with itself or without weight are none."""
+    good = claims.where("a <> b and weight > 0")
+    best = good.groupBy("a", "b").agg(F.min(F.struct((-F.col("weight")).alias("w"), "source", "witnesses", "sole")).alias("c"))
+    return best.select("a", "b", (-F.col("c.w")).alias("weight"), F.col("c.witnesses").alias("witnesses"), F.col("c.sole").alias("sole"), F.col("c.source").alias("source"))
+
+
+def path_units(paths: DataFrame, common: DataFrame, max_subjects: int = MAX_SUBJECTS) -> DataFrame:
+    """``unit, a, b, who``: subjects of different paths of a commit (``unit, path, topic, who``), without those in
+    ``common`` (``unit, topic``), which only say where code lives. Two subjects of one and the same path are no pair."""
+    own = paths.select("unit", "path", "topic", "who").distinct().join(common, ["unit", "topic"], "left_anti")
+    per = own.groupBy("unit", "topic").agg(F.array_sort(F.collect_set("path")).alias("p"), F.min("who").alias("who"))
+    unit = per.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("topic", "p"))).alias("t"), F.min("who").alias("who")).where(F.size("t").between(2, max_subjects))
+    two = unit.select("unit", "who", "t", F.explode("t").alias("x")).select("unit", "who", "x", F.explode(F.filter("t", lambda y: y["topic"] > F.col("x.topic"))).alias("y"))
+    return two.where((F.size(F.array_union("x.p", "y.p")) >= 2) & ~same_family(F.col("x.topic"), F.col("y.topic"))).select("unit", F.col("x.topic").alias("a"), F.col("y.topic").alias("b"), "who")
+
+
+def span_groups(spans: DataFrame) -> DataFrame:
+    """``person, region, topics, ties, weakest``: what a person alone holds together, as connected groups of ``sole_spans``,
+    with the weight of the weakest connection."""
+    key = lambda c: F.concat(F.col("person"), F.lit("\x01"), F.col(c))
+    cc = components(spans.select(key("a").alias("a"), key("b").alias("b")))
+    placed = spans.withColumn("node", key("a")).join(cc, ["node"])
+    root = placed.groupBy("person", "root").agg(F.count(F.lit(1)).alias("ties"), F.min("weight").alias("weakest"))
+    topics = cc.groupBy("root").agg(F.count(F.lit(1)).alias("topics"))
+    return root.join(topics, ["root"]).select("person", F.substring_index("root", "\x01", -1).alias("region"), "topics", "ties", "weakest")
+
+
 def strongest(ties: DataFrame, keep: int = KEEP) -> DataFrame:
     """The ``keep`` strongest ties of each subject with their rank."""
     order = Window.partitionBy("a").orderBy(F.desc("weight"), "b")

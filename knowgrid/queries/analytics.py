@@ -10,7 +10,7 @@ from knowgrid.functions import words as W
 from knowgrid.functions.identity import normalize_email
 from knowgrid.operators import ask, episodes, risk, search, ties, vectors
 from knowgrid.plans import adapters as A
-from knowgrid.session import spread, table
+from knowgrid.session import materialise, spread, table
 from knowgrid.sources import records
 
 QUESTION = ("ledger", "export", "tokens", "retries")
@@ -241,6 +241,18 @@ def direct_search(spark: SparkSession, d: str) -> DataFrame:
     return search.direct_search(p, "mira")
 
 
+def _tiers(w: str) -> str:
+    sc = f"greatest(CASE WHEN lower(name) = '{w}' THEN 100 ELSE 0 END, CASE WHEN lower(name) LIKE '{w}%' THEN 60 ELSE 0 END, CASE WHEN lower(name) LIKE '%{w}%' THEN 40 ELSE 0 END, CASE WHEN lower(email) LIKE '%{w}%' THEN 30 ELSE 0 END, CASE WHEN lower(title) LIKE '%{w}%' THEN 15 ELSE 0 END, CASE WHEN lower(team) LIKE '%{w}%' THEN 12 ELSE 0 END)"
+    mt = ", ".join(f"CASE WHEN lower({c}) LIKE '%{w}%' THEN '{c}' END" for c in ("name", "email", "title", "team"))
+    return f"SELECT rec_id AS id, {sc} AS score, array_to_string(list_filter([{mt}], lambda x: x IS NOT NULL), ',') AS matched FROM people"
+
+
+@query(f"WITH f AS ({_tiers('mira')} UNION ALL {_tiers('lund')}) SELECT id, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, matched) AS r FROM f WHERE score > 0) WHERE r = 1 ORDER BY score DESC, id LIMIT 20")
+def suggest_people(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "people").select(F.col("rec_id").alias("id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "email", "title", "team")])
+    return search.suggest(p, "is Mira of Lund?")
+
+
 @query("""SELECT rec_id AS id, CASE WHEN lower(name) = 'hana rovnypald' THEN 1.0 ELSE 0.9 END AS strength FROM people WHERE lower(name) = 'hana rovnypald' OR (
  len(list_filter(string_split_regex(lower(name), '\\s+'), lambda p: starts_with(p, 'hana') OR (length(p) >= 4 AND levenshtein(p, 'hana') <= 1))) > 0 AND
  len(list_filter(string_split_regex(lower(name), '\\s+'), lambda p: starts_with(p, 'rovnypald') OR (length(p) >= 4 AND levenshtein(p, 'rovnypald') <= 1))) > 0)""")
@@ -306,6 +318,13 @@ def leaders_topk(spark: SparkSession, d: str) -> DataFrame:
     return risk.leaders(A.nation_facts(spark, d)).select("topic", "person", r6("score"), "rank")
 
 
+@query("WITH " + A.BRANDPT_SQL + """, k AS (SELECT person, topic, w, topic LIKE '%3' AS s, bool_or(topic LIKE '%3') OVER (PARTITION BY person) AS h FROM pt WHERE w > 0)
+SELECT person, topic, round(w, 6) AS w, rank FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY w DESC, topic) AS rank FROM k WHERE s OR NOT h) WHERE rank <= 3""")
+def person_top_topics(spark: SparkSession, d: str) -> DataFrame:
+    salient = table(spark, d, "part").where("p_brand like '%3'").select(F.col("p_brand").alias("topic"))
+    return risk.top_topics(A.brand_facts(spark, d), salient).select("person", "topic", r6("w"), "rank")
+
+
 @query("WITH " + A.NATION_SQL + _BUS + " SELECT topic, total, experts, CAST(bus AS BIGINT) AS bus, level FROM risk")
 def risk_levels(spark: SparkSession, d: str) -> DataFrame:
     return risk.risk(A.nation_facts(spark, d)).withColumn("bus", F.col("bus").cast("long"))
@@ -397,15 +416,15 @@ def most_fragile(spark: SparkSession, d: str) -> DataFrame:
 # --- ties --------------------------------------------------------------------------------------------------------------
 
 _TIES = "WITH " + A.BRAND_SQL + """, u AS (SELECT DISTINCT unit, topic, person FROM work), ok AS (SELECT unit FROM u GROUP BY unit HAVING count(DISTINCT topic) BETWEEN 2 AND 18), v AS (SELECT u.* FROM u JOIN ok USING (unit)),
-pr AS (SELECT x.topic AS a, y.topic AS b, count(*) AS n, count(DISTINCT x.person) AS witnesses, min(x.person) AS one FROM v x JOIN v y ON x.unit = y.unit AND x.topic < y.topic GROUP BY ALL),
+pr AS (SELECT x.topic AS a, y.topic AS b, count(*) AS n, count(DISTINCT x.person) AS witnesses, min(x.person) AS one FROM v x JOIN v y ON x.unit = y.unit AND x.topic < y.topic AND NOT contains(x.topic, y.topic) AND NOT contains(y.topic, x.topic) GROUP BY ALL),
 seen AS (SELECT topic, count(*) AS seen FROM v GROUP BY topic), it AS (SELECT count(DISTINCT unit) AS items FROM v), good AS (SELECT topic, seen FROM seen, it WHERE seen >= 5 AND (items < 200 OR seen <= 0.35 * items)),
 w AS (SELECT a, b, round(n / (x.seen + y.seen - n), 9) AS weight, witnesses, CASE WHEN witnesses = 1 THEN one END AS sole FROM pr JOIN good x ON x.topic = a JOIN good y ON y.topic = b WHERE n >= 3 AND n / (x.seen + y.seen - n) >= 0.001),
 ties AS (SELECT * FROM w UNION ALL SELECT b, a, weight, witnesses, sole FROM w)"""
 
 
 def _ties(spark: SparkSession, d: str) -> DataFrame:
-    w = A.brand_work(spark, d).select("unit", "topic", F.col("person").alias("who"))
-    return ties.weigh(ties.cooccurrence(w), w)
+    u = materialise(ties.units(A.brand_work(spark, d).select("unit", "topic", F.col("person").alias("who"))), "units")
+    return ties.weigh(ties.cooccurrence(u), u)
 
 
 @query(_TIES + " SELECT a, b, round(weight, 6) AS weight, witnesses FROM ties")
@@ -461,7 +480,7 @@ def regions_cc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH work AS (SELECT row_id AS unit, unnest([upper(matter), lower(service)]) AS topic, who FROM (SELECT row_id, split_part(assignee_email, '@', 1) AS matter, service_name AS service, assignee_email AS who FROM pd_incidents WHERE service_name IS NOT NULL AND assignee_email IS NOT NULL)),
-v AS (SELECT DISTINCT unit, topic, who FROM work WHERE unit IN (SELECT unit FROM work GROUP BY unit HAVING count(DISTINCT topic) BETWEEN 2 AND 18)), pr AS (SELECT x.topic AS a, y.topic AS b, count(*) AS n, count(DISTINCT x.who) AS witnesses, min(x.who) AS one FROM v x JOIN v y ON x.unit = y.unit AND x.topic < y.topic GROUP BY ALL),
+v AS (SELECT DISTINCT unit, topic, who FROM work WHERE unit IN (SELECT unit FROM work GROUP BY unit HAVING count(DISTINCT topic) BETWEEN 2 AND 18)), pr AS (SELECT x.topic AS a, y.topic AS b, count(*) AS n, count(DISTINCT x.who) AS witnesses, min(x.who) AS one FROM v x JOIN v y ON x.unit = y.unit AND x.topic < y.topic AND NOT contains(x.topic, y.topic) AND NOT contains(y.topic, x.topic) GROUP BY ALL),
 seen AS (SELECT topic, count(*) AS seen FROM v GROUP BY 1), it AS (SELECT count(DISTINCT unit) AS items FROM v), good AS (SELECT topic, seen FROM seen, it WHERE seen >= 5 AND (items < 200 OR seen <= 0.35 * items)),
 w AS (SELECT a, b, round(n / (x.seen + y.seen - n), 9) AS weight, witnesses, one FROM pr JOIN good x ON x.topic = a JOIN good y ON y.topic = b WHERE n >= 3 AND n / (x.seen + y.seen - n) >= 0.001), t AS (SELECT * FROM w UNION ALL SELECT b, a, weight, witnesses, one FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS rk FROM t) SELECT r.one AS person, r.a, r.b, round(r.weight, 6) AS weight FROM r JOIN r k ON k.a = r.b AND k.b = r.a WHERE r.witnesses = 1 AND r.a < r.b AND r.rk <= 3 AND k.rk <= 3""")
@@ -473,6 +492,30 @@ def sole_spans(spark: SparkSession, d: str) -> DataFrame:
     return ties.sole_spans(ties.weigh(ties.cooccurrence(w), w)).select("person", "a", "b", r6("weight"))
 
 
+@query(_TIES + """, one AS (SELECT DISTINCT topic, CASE WHEN topic LIKE '%1' THEN 'p' || (person % 40) ELSE 'p' || (person % 9) END AS c FROM work), w2 AS (SELECT topic FROM one GROUP BY 1 HAVING (SELECT count(DISTINCT c) FROM one) >= 3 AND count(*) > 0.5 * (SELECT count(DISTINCT c) FROM one))
+SELECT a, b, round(weight, 6) AS weight FROM ties WHERE a NOT IN (SELECT topic FROM w2) AND b NOT IN (SELECT topic FROM w2)""")
+def ties_spread_drop(spark: SparkSession, d: str) -> DataFrame:
+    """Without brands that most of the (made-up) places have."""
+    w = A.brand_work(spark, d)
+    place = F.when(F.col("topic").endswith("1"), F.concat(F.lit("p"), F.col("person") % 40)).otherwise(F.concat(F.lit("p"), F.col("person") % 9))
+    return ties.drop_spread(_ties(spark, d), w.select("topic", place.alias("container"))).select("a", "b", r6("weight"))
+
+
+@query(_TIES + " SELECT a, b, round(weight, 6) AS weight FROM ties WHERE a LIKE '%5' OR b LIKE '%5'")
+def ties_standing(spark: SparkSession, d: str) -> DataFrame:
+    standing = table(spark, d, "part").where("p_brand like '%5'").select(F.col("p_brand").alias("topic"))
+    return ties.standing_only(_ties(spark, d), standing).select("a", "b", r6("weight"))
+
+
+@query(_TIES + """, c AS (SELECT a, b, weight, witnesses, sole, 'orders' AS source FROM ties UNION ALL SELECT a, b, CASE WHEN a LIKE '%2' THEN weight * 2 ELSE weight END, 1, NULL, 'board' FROM ties WHERE b LIKE '%3')
+SELECT a, b, round(weight, 6) AS weight, witnesses, source FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY weight DESC, source) AS r FROM c) WHERE r = 1""")
+def ties_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Of two sources' claims the stronger one of each pair."""
+    t = materialise(_ties(spark, d), "ties")
+    board = t.where("b like '%3'").select("a", "b", F.when(F.col("a").like("%2"), F.col("weight") * 2).otherwise(F.col("weight")).alias("weight"), F.lit(1).cast("long").alias("witnesses"), F.lit(None).cast(t.schema["sole"].dataType).alias("sole"))
+    return ties.strongest_claim(t.withColumn("source", F.lit("orders")).unionByName(board.withColumn("source", F.lit("board")))).select("a", "b", r6("weight"), "witnesses", "source")
+
+
 @query("""WITH m AS (SELECT DISTINCT place AS grp, author_email AS person FROM documents WHERE place IS NOT NULL AND author_email IS NOT NULL), f AS (SELECT min(person) AS p FROM m), z AS (SELECT grp, count(*) AS size FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200),
 mine AS (SELECT grp, size FROM m JOIN z USING (grp), f WHERE person = p) SELECT person AS other, round(sum(1.0 / (size - 1)), 6) AS weight FROM m JOIN mine USING (grp), f WHERE person <> p GROUP BY 1""")
 def near_people(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knowgrid.functions import text as T
 from knowgrid.functions import words as W
 from knowgrid.functions.identity import normalize_email
-from knowgrid.operators import conversations, identity, knowledge, risk, ties
+from knowgrid.operators import conversations, identity, ingest, knowledge, risk, ties
 from knowgrid.plans import adapters as A
 from knowgrid.queries.analytics import _ADDRESS, _BARE, _TIES, _TITLE, _ties
 from knowgrid.session import table
@@ -238,3 +238,45 @@ def unlinked_handles(spark: SparkSession, d: str) -> DataFrame:
 def find_person(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "people").where("email like '%@%'").select(F.lower(F.trim("email")).alias("id"), F.coalesce("name", F.lit("")).alias("name"), "email")
     return knowledge.find_person(p, "lund", fuzzy=True)
+
+
+_RECS = "rc AS (SELECT " + _ADDRESS.format("b") + " AS id, * EXCLUDE (b) FROM (SELECT " + _BARE.format("email") + " AS b, * FROM people WHERE email LIKE '%@%'))"
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "people").where("email like '%@%'").withColumn("id", normalize_email(F.col("email")))
+
+
+_REAL = "name NOT LIKE '@%' AND name NOT LIKE '%:%'"
+
+
+@query(f"WITH {_RECS}, m AS (SELECT id, max({{'a': coalesce(loaded_at, TIMESTAMP '1970-01-01'), 'b': rec_id, 'v': name}}) FILTER (WHERE name <> '' AND {_REAL}) AS n1, max({{'a': coalesce(loaded_at, TIMESTAMP '1970-01-01'), 'b': rec_id, 'v': name}}) FILTER (WHERE name <> '') AS n2, "
+       + ", ".join(f"max({{'a': coalesce(loaded_at, TIMESTAMP '1970-01-01'), 'b': rec_id, 'v': {c}}}) FILTER (WHERE {c} <> '') AS {c[0]}x" for c in ("title", "manager", "org")) + ", max({'a': coalesce(loaded_at, TIMESTAMP '1970-01-01'), 'b': rec_id, 'v': team}) FILTER (WHERE team <> '') AS zx FROM rc GROUP BY id) SELECT id, coalesce(n1.v, n2.v) AS name, tx.v AS title, mx.v AS manager, zx.v AS team, ox.v AS org FROM m")
+def ingest_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Identity fields of every address, folded over all its rows in the order they were loaded."""
+    r = _records(spark, d).withColumn("at", F.coalesce("loaded_at", F.to_timestamp(F.lit("1970-01-01")).cast("timestamp_ntz")))
+    return ingest.fold_identities(r, ["at", "rec_id"], ("title", "manager", "team", "org"))
+
+
+@query(f"WITH {_RECS} SELECT id, count(title) AS titles, coalesce(array_to_string(list_sort(list(DISTINCT team)), '|'), '') AS teams, max(loaded_at) AS last_at FROM rc GROUP BY id")
+def ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Every second row as what is held and the rest as a delta: folded they are what one fold of all rows gives."""
+    listed = lambda c: F.array_compact(F.array(c))
+    r = _records(spark, d).select("rec_id", "id", listed("title").alias("titles"), listed("team").alias("teams"), F.col("loaded_at").alias("last_at"))
+    folded = dict(joined=("titles",), united=("teams",), largest=("last_at",))
+    none = r.drop("rec_id").limit(0)
+    held = ingest.fold_records(none, r.where("rec_id % 2 = 0").drop("rec_id"), **folded)
+    out = ingest.fold_records(held, r.where("rec_id % 2 <> 0").drop("rec_id"), **folded)
+    return out.select("id", F.size("titles").cast("long").alias("titles"), F.array_join("teams", "|").alias("teams"), "last_at")
+
+
+_MM = "mm AS (SELECT " + _ADDRESS.format("c") + " AS alias, min(" + _ADDRESS.format("b") + ") AS canonical FROM (SELECT " + _BARE.format("commit_email") + " AS c, " + _BARE.format("email") + " AS b FROM mailmap WHERE commit_email LIKE '%@%' AND email LIKE '%@%') GROUP BY 1)"
+
+
+@query(f"WITH {_MM}, f AS (SELECT {_ADDRESS.format('b')} AS person, place FROM (SELECT {_BARE.format('author_email')} AS b, place FROM documents WHERE author_email IS NOT NULL AND place IS NOT NULL)) SELECT coalesce(canonical, person) AS person, place, CAST(count(*) AS BIGINT) AS n FROM f LEFT JOIN mm ON mm.alias = person GROUP BY 1, 2")
+def merge_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Work on places under the proper address of whoever wrote."""
+    m = table(spark, d, "mailmap").where("commit_email like '%@%' and email like '%@%'")
+    alias = m.groupBy(normalize_email(F.col("commit_email")).alias("alias")).agg(F.min(normalize_email(F.col("email"))).alias("canonical"))
+    work = table(spark, d, "documents").where("author_email is not null and place is not null").select(normalize_email(F.col("author_email")).alias("person"), "place", F.lit(1).cast("long").alias("n"))
+    return ingest.merge_canonical(work, alias, ("n",), ("place",))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowgrid.session import hot_keys, look_up, materialise
+from knowgrid.session import discard, hot_keys, look_up, materialise
 
 #: Buckets into which the children of one parent are split, at least, and nodes that one bucket may hold at most.
 SIBLING_BUCKETS, BUCKET_NODES = 64, 200_000
@@ -42,7 +42,8 @@ def subtree_sizes(links: DataFrame, hot_nodes: int = HOT_NODES) -> tuple[DataFra
         step = look_up(waiting, "up", "node", now.select(F.col("node").alias("_at"), F.col("up").alias("_next")), rounds[-1])
         step = step.select("node", "parent", F.col("_next").alias("up"), "size", F.when(F.col("_next").isNull(), F.col("ups")).otherwise(F.concat("ups", F.array("_next"))).alias("ups"))
         step = step.unionByName(now.where("up is null")).join(more, ["node"], "left")
-        now = materialise(step.select("node", "parent", "up", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"), "ups"), "tree")
+        last, now = now, materialise(step.select("node", "parent", "up", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"), "ups"), "tree")
+        discard(last)
         still = now.where("up is not null").count()
         if still == open_:
             break
@@ -67,7 +68,8 @@ def preorder_ranges(sized: DataFrame, rounds: list[DataFrame | None], buckets: i
     for k, hot in enumerate(rounds):
         waiting, above = now.where(F.size("ups") > k).withColumn("up", F.get("ups", F.lit(k))), now.select(F.col("node").alias("_at"), F.col("lft").alias("_above"))
         step = look_up(waiting, "up", "node", above, hot).withColumn("lft", F.col("lft") + F.col("_above")).drop("up", "_above")
-        now = materialise(step.unionByName(now.where(F.size("ups") <= k)), "ranges")
+        last, now = now, materialise(step.unionByName(now.where(F.size("ups") <= k)), "ranges")
+        discard(last)
     return now.drop("ups")
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowgrid.functions.text import same_family
-from knowgrid.session import materialise
+from knowgrid.session import discard, hot_keys, look_up, materialise
 
 #: Subjects of a unit of work that pairs are made from, at most: larger units say nothing about any pair.
 MAX_SUBJECTS, LEAST_ITEMS, LEAST_SEEN, KEEP = 18, 3, 5, 12
+#: Nodes that may look up the same one in one task; those of a larger group are spread over copies of it.
+HOT_NODES = 100_000
 
 
 def units(work: DataFrame, max_subjects: int = MAX_SUBJECTS) -> DataFrame:
@@ -134,19 +136,35 @@ def families(names: DataFrame, col: str = "name") -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: smallest node reached, for edges ``a, b``. Minimum labels with pointer jumping: each round a node
-    takes the smallest label among its neighbours' labels, then the label of its label."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, "cc-edges")
-    label = materialise(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("root")).withColumnRenamed("a", "node"), "cc")
+    """``node, root``: smallest node reached, for edges ``a, b``.
+
+    Stars are contracted round by round: every node finds the smallest of its neighbours and itself, edges are moved to
+    these, and those within one are dropped, so each round has fewer edges and nodes than the one before. At the
+    end the rounds' answers are looked up one after the other, from the last to the first; the nodes of a giant group
+    do that in many tasks.
+    """
+    now = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    rounds = []
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), ["b"]).groupBy("a").agg(F.min("r").alias("r"))
-        step = label.join(near.withColumnRenamed("a", "node"), ["node"]).select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("rr"))
-        step = materialise(step.join(jump, ["root"]).select("node", "old", F.col("rr").alias("root")), "cc")
-        label = step.select("node", "root")
-        if step.where("old <> root").isEmpty():
-            return label
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # A node's smallest neighbour may itself have a smaller one: two steps at once.
+        step = low.select(F.col("a").alias("_at"), F.col("m").alias("_m"))
+        label = materialise(look_up(low, "m", "a", step, hot_keys(low, "m", now.count(), HOT_NODES)).select(F.col("a").alias("node"), F.col("_m").alias("root")), "cc")
+        rounds.append(label)
+        to = label.select(F.col("node").alias("_at"), "root")
+        n = now.count()
+        moved = look_up(now, "a", "b", to, hot_keys(now, "a", n, HOT_NODES)).withColumnRenamed("root", "_a")
+        moved = look_up(moved, "b", "a", to, hot_keys(now, "b", n, HOT_NODES)).withColumnRenamed("root", "_b").where("_a <> _b")
+        last, now = now, materialise(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "cc-edges")
+        discard(last)
+        if now.isEmpty():
+            break
+    out = rounds[-1]
+    for level in reversed(rounds[:-1]):
+        up = out.select(F.col("node").alias("_at"), F.col("root").alias("_r"))
+        out = look_up(level, "root", "node", up, hot_keys(level, "root", level.count(), HOT_NODES), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return out
 
 
 def regions(ties: DataFrame, lead: DataFrame, least: int = 3) -> DataFrame:

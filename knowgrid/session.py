@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,7 @@ def hot_keys(rows: DataFrame, key: str, total: int, most: int, share: int = 1_00
         return None
     counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     found = counts.select("_at", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")).collect()
-    return rows.sparkSession.createDataFrame(found, "_at string, _parts int") if found else None
+    return rows.sparkSession.createDataFrame(found, T.StructType([T.StructField("_at", rows.schema[key].dataType), T.StructField("_parts", T.IntegerType())])) if found else None
 
 
 def look_up(rows: DataFrame, key: str, by: str, table: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:

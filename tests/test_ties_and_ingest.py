@@ -73,3 +73,10 @@ def test_bytes_are_cut_between_characters_and_folding(spark):
 
     want = {i: "".join(c for c in unicodedata.normalize("NFKD", w) if unicodedata.category(c) != "Mn") for i, w in enumerate(words)}
     assert {r.i: r.f for r in df.select("i", T.fold("s").alias("f")).collect()} == want | {99: None}
+
+
+def test_components_of_a_giant_star_with_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ties, "HOT_NODES", 20)
+    pairs = [(1000, i) for i in range(300)] + [(i, 2000 + i) for i in range(0, 300, 7)] + [(5000, 5001)]
+    got = {r.node: r.root for r in ties.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got[5001] == 5000 and {v for k, v in got.items() if k < 5000} == {0} and len(got) == 301 + 43 + 2

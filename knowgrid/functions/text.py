@@ -53,6 +53,11 @@ def ascii_tokens(text: Column) -> Column:
     return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(W.STOPWORDS))
 
 
+def raw_words(text: Column) -> Column:
+    """Lower-case ASCII words, nothing removed."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1))
+
+
 def slug(c: Column) -> Column:
     """Lower case, every run of other characters one hyphen, none at the ends (``fold`` first for accents)."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]+", "-"), r"^-+|-+$", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,7 @@ def enrich_threads(parents: DataFrame, messages: DataFrame, keep: int = 20) -> D
     return j.select("channel", "ts", who.alias("participants"), body.alias("body"))
 
 
-def within_budget(rows: DataFrame, key: str, order: str, text: str, limit: int) -> DataFrame:
+def within_budget(rows: DataFrame, key: str, order: str | Column, text: str, limit: int) -> DataFrame:
     """Rows of each key, in order, while the bytes of those before are under ``limit``."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_b", F.coalesce(F.sum(F.octet_length(text)).over(w), F.lit(0))).where(F.col("_b") < limit).drop("_b")

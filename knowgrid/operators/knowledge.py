@@ -80,6 +80,12 @@ def find_person(people: DataFrame, query: str, fuzzy: bool = False) -> DataFrame
     return people.select("id", tier.alias("tier")).where("tier is not null").orderBy("tier", "id").limit(1).select("id")
 
 
+def ordered_distinct(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each ``key`` in the given (total) order; rows with an empty or NULL key are dropped."""
+    r = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("_r", r).where("_r = 1").drop("_r")
+
+
 def matching(rows: DataFrame, **wanted: str | None) -> DataFrame:
     """Rows whose named fields equal the values, whatever their case; a value of None asks nothing, all None match nothing."""
     cond = [F.lower(c) == v.lower() for c, v in wanted.items() if v is not None]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knowgrid.functions import text as T
 from knowgrid.functions import words as W
 from knowgrid.functions.identity import normalize_email
-from knowgrid.operators import conversations, identity, ingest, knowledge, risk, ties
+from knowgrid.operators import conversations, episodes, identity, ingest, knowledge, risk, ties
 from knowgrid.plans import adapters as A
 from knowgrid.queries.analytics import _ADDRESS, _BARE, _TIES, _TITLE, _ties
 from knowgrid.session import table
@@ -280,3 +280,35 @@ def merge_canonical(spark: SparkSession, d: str) -> DataFrame:
     alias = m.groupBy(normalize_email(F.col("commit_email")).alias("alias")).agg(F.min(normalize_email(F.col("email"))).alias("canonical"))
     work = table(spark, d, "documents").where("author_email is not null and place is not null").select(normalize_email(F.col("author_email")).alias("person"), "place", F.lit(1).cast("long").alias("n"))
     return ingest.merge_canonical(work, alias, ("n",), ("place",))
+
+
+@query(f"WITH {_RECS} SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY coalesce(loaded_at, TIMESTAMP '1970-01-01'), rec_id) AS r FROM rc WHERE id <> '') WHERE r = 1")
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The first loaded name of every address."""
+    at = F.coalesce("loaded_at", F.to_timestamp(F.lit("1970-01-01")).cast("timestamp_ntz"))
+    return knowledge.ordered_distinct(_records(spark, d), "id", [at, F.col("rec_id")]).select("id", "name")
+
+
+@query("SELECT source, w AS word, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1, 2")
+def raw_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every ASCII word of the documents of a source, stop words and single letters included."""
+    words = table(spark, d, "documents").select("source", F.explode(T.raw_words(F.col("text"))).alias("word"))
+    return words.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH b AS (SELECT source, count(*) AS old FROM documents GROUP BY 1), a AS (SELECT source, count(*) AS new FROM documents WHERE text IS NOT NULL AND length(text) > 600 GROUP BY 1)
+SELECT b.source, old, coalesce(new, 0) AS new FROM b LEFT JOIN a ON a.source = b.source WHERE coalesce(new, 0) < old * 0.5""")
+def shrink_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of which a run that brings long texts only would lose more than half."""
+    docs = table(spark, d, "documents")
+    n = lambda x: x.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return episodes.shrink_guard(n(docs), n(docs.where("text is not null and length(text) > 600")))
+
+
+@query("WITH c AS (SELECT lower(components) AS topic, assignee_email AS person, count(*) AS n, max(count(*)) OVER (PARTITION BY lower(components)) AS m FROM fakeapi WHERE components IS NOT NULL AND assignee_email IS NOT NULL GROUP BY 1, 2), s AS (SELECT topic, person, round(n / m, 2) AS strength FROM c) SELECT topic, person, strength, CASE WHEN strength >= 0.75 THEN 'strong' WHEN strength >= 0.45 THEN 'moderate' WHEN strength > 0 THEN 'weak' ELSE 'none' END AS label FROM s")
+def strength_labels(spark: SparkSession, d: str) -> DataFrame:
+    """People on components by their share of what the busiest one did, in words."""
+    n = table(spark, d, "fakeapi").where("components is not null and assignee_email is not null").groupBy(F.lower("components").alias("topic"), F.col("assignee_email").alias("person")).agg(F.count(F.lit(1)).alias("n"))
+    most = n.groupBy("topic").agg(F.max("n").alias("m"))
+    s = n.join(most, ["topic"]).select("topic", "person", F.round(F.col("n") / F.col("m"), 2).alias("strength"))
+    return s.withColumn("label", T.strength_label(F.col("strength")))

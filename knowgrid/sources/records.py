@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowgrid.functions import text as T
 from knowgrid.functions.identity import normalize_email
+from knowgrid.operators.conversations import within_budget
 
 RECORD = (
     "kind string, person_id string, name string, email string, alt_ids array<string>, title string, team string, org string, manager string, topics array<string>, "
@@ -122,7 +123,10 @@ def chat_export(spark: SparkSession, folder: str, text_limit: int = 8000) -> Dat
     msgs = msgs.where(F.col("user").isNotNull() & F.col("subtype").isNull() if "subtype" in msgs.columns else F.col("user").isNotNull())
     said = msgs.select("channel", "user", F.col("ts").cast("double").cast("timestamp").alias("at"), T.scrub(F.coalesce("text", F.lit("")))[0].alias("text"))
     person = users.select(F.col("id").alias("user"), F.coalesce(F.col("profile.real_name"), F.col("name")).alias("name"), normalize_email(F.col("profile.email")).alias("email"), F.col("profile.title").alias("title"))
-    per = said.groupBy("user").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"), F.max("at").alias("at"))
+    # Bytes are counted before anything is collected, so nobody's list outgrows the limit by more than a message.
+    first = within_budget(said, "user", F.struct("at", "text"), "text", text_limit)
+    latest = said.groupBy("user").agg(F.max("at").alias("at"))
+    per = first.groupBy("user").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text")).join(latest, ["user"])
     people = as_records(
         person.join(per, ["user"], "left"), "person", "chat", person_id=F.coalesce("email", F.concat(F.lit("slack:"), F.lower("user"))), name=F.col("name"), email=F.col("email"), title=F.col("title"), text=T.truncate_bytes(F.substring("text", 1, text_limit), text_limit), time=F.col("at")
     )

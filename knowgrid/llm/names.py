@@ -5,17 +5,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowgrid.llm.components import connected_groups
-from knowgrid.session import hash_sample, materialise, spread
+from knowgrid.session import discard, materialise, spread
 
-#: Directory rows that the first names and nicknames are learned from, at most, chosen by a hash of their key.
-FIT_ROWS = 40_000
 #: Names that one trie holds; a shard with more is split and its queries go to every part.
 TRIE_NAMES = 20_000
 #: Asked names that one task leads through a trie; a shard with more is split, too.
@@ -170,32 +168,59 @@ def _shortened(w: str, k: int) -> set[str]:
     return out
 
 
+def habit_counts(rows: Iterable[tuple[str | None, str | None]]) -> tuple[dict[str, list], Counter]:
+    """What ``Habits`` are learned from, of any part of the rows (``name, email``).
+
+    By word: addresses that hold it, names typed with it in front and at the end, and the least and the greatest of the
+    words that share an address of two with it. By (word, first name, surname): how often the word was typed beside the
+    surname where the address has the first name. Addresses of companies hold no first name.
+    """
+    words: dict[str, list] = defaultdict(lambda: [0, 0, 0, None, None])
+    typed: Counter = Counter()
+    for name, email in rows:
+        toks, address = name_tokens(name), _address(email)
+        loc = [] if address is None or company_label(*address, toks) else _split_local(email)
+        if len(toks) == 2:
+            words[toks[0].replace("-", "")][1] += 1
+            words[toks[1].replace("-", "")][2] += 1
+        elif len(toks) == 3:
+            words[(toks[0] + toks[1]).replace("-", "")][1] += 1
+        for w in set(loc):
+            words[w][0] += 1
+        if len(loc) == 2:
+            for g, s in (loc, loc[::-1]):
+                of = words[g]
+                of[3:] = (s, s) if of[3] is None else (min(of[3], s), max(of[4], s))
+                if len(toks) == 2:
+                    for a, b in (toks, toks[::-1]):
+                        if b.replace("-", "") == s and len(a) > 1 and a.replace("-", "") != g:
+                            typed[a.replace("-", ""), g, s] += 1
+    return words, typed
+
+
 class Habits:
-    """First names as addresses spell them, and what people type for them (nicknames), learned from a sample."""
+    """First names as addresses spell them, and what people type for them (nicknames)."""
 
     def __init__(self, rows: list[tuple[str | None, str | None]]):
-        parts, first, last = Counter(), Counter(), Counter()
-        for name, email in rows:
-            toks = name_tokens(name)
-            if len(toks) == 2:
-                first[toks[0].replace("-", "")] += 1
-                last[toks[1].replace("-", "")] += 1
-            elif len(toks) == 3:
-                first[(toks[0] + toks[1]).replace("-", "")] += 1
-            for w in set(_split_local(email)):
-                parts[w] += 1
-        self.given = {w for w, k in parts.items() if len(w) > 1 and k >= 2 and first[w] > 2 * last[w] and first[w] >= 2}
-        typed: dict[str, Counter] = defaultdict(Counter)
-        for name, email in rows:
-            toks, loc = name_tokens(name), _split_local(email)
-            if len(toks) == 2 and len(loc) == 2:
-                for g, s in (loc, loc[::-1]):
-                    if g in self.given and s not in self.given:
-                        for a, b in (toks, toks[::-1]):
-                            if b.replace("-", "") == s and len(a) > 1 and a.replace("-", "") != g:
-                                typed[a.replace("-", "")][g] += 1
-        self.nick = {w: {g for g, k in c.items() if k >= 2} for w, c in typed.items() if w not in self.given}
-        self.nick = {w: gs for w, gs in self.nick.items() if gs}
+        words, typed = habit_counts(rows)
+        given = {w for w, (parts, first, last, lo, hi) in words.items() if len(w) > 1 and parts >= 2 and first > 2 * last and first >= 2 and lo != hi}
+        found: Counter = Counter()
+        for (a, g, s), k in typed.items():
+            if a not in given and g in given and s not in given:
+                found[a, g] += k
+        self.learn(given, [x for x, k in found.items() if k >= 2])
+
+    def learn(self, given: set[str], nick: Iterable[tuple[str, str]]) -> None:
+        """First names, and (typed word, first name) of what is typed for them.
+
+        A first name stands beside different words in addresses: the name of a company that is cut in two when typed, or
+        the surname of a single person typed in front, doesn't, however many rows there are.
+        """
+        self.given = given
+        self.nick: dict[str, set[str]] = defaultdict(set)
+        for w, g in nick:
+            self.nick[w].add(g)
+        self.nick = dict(self.nick)
         self.memo: dict[str, set[str]] = {}
         self.lengths = sorted({len(w) for w in self.given})
         self.shortened: dict[str, set[str]] = defaultdict(set)
@@ -543,7 +568,26 @@ def same_entity_pairs(groups: DataFrame) -> DataFrame:
     return a.join(b, ["group_id"]).where("rec_id_a < rec_id_b").select("rec_id_a", "rec_id_b")
 
 
-def fit_habits(people: DataFrame, max_rows: int = FIT_ROWS) -> Habits:
-    """From at most ``max_rows`` rows of ``rec_id, name, email``."""
-    some = people.select("rec_id", F.substring("name", 1, 120).alias("name"), F.substring("email", 1, 120).alias("email"))
-    return Habits([(r["name"], r["email"]) for r in hash_sample(some, "rec_id", max_rows).collect()])
+def fit_habits(people: DataFrame) -> Habits:
+    """From all rows of ``rec_id, name, email``: counted where they lie, and added up before anything is collected, which
+    is first names and nicknames only."""
+    schema = pa.schema([(c, pa.string()) for c in ("w", "g", "s")] + [(c, pa.int64()) for c in ("parts", "first", "last")] + [("lo", pa.string()), ("hi", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, typed = habit_counts(zip(*(c.to_pylist() for c in b.columns)))
+            rows = [(w, None, None, *v) for w, v in words.items()] + [(*k, n, 0, 0, None, None) for k, n in typed.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    counted = spread(people.select("name", "email")).mapInArrow(run, "w string, g string, s string, parts long, first long, last long, lo string, hi string")
+    counts = materialise(counted.groupBy("w", "g", "s").agg(*(F.sum(c).alias(c) for c in ("parts", "first", "last")), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "habits")
+    given = counts.where("g is null and length(w) > 1 and parts >= 2 and first > 2 * last and first >= 2 and lo <> hi").select("w")
+    typed = counts.where("g is not null").select("w", "g", "s", "parts").join(given.select(F.col("w").alias("g")), ["g"], "left_semi")
+    for c in ("w", "s"):
+        typed = typed.join(given.select(F.col("w").alias(c)), [c], "left_anti")
+    nick = typed.groupBy("w", "g").agg(F.sum("parts").alias("n")).where("n >= 2")
+    habits = Habits([])
+    habits.learn({r["w"] for r in given.collect()}, [(r["w"], r["g"]) for r in nick.collect()])
+    discard(counts)
+    return habits

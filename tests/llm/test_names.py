@@ -155,3 +155,18 @@ def test_first_names_by_shortened_words():
         k = 1 if len(w) < 6 else 2
         want = {w} if w in HABITS.given else set(HABITS.nick.get(w, ())) or {g for g in HABITS.given if N.within(w, g, k)}
         assert HABITS.givens(w) == want
+
+
+def test_habits_are_counted_over_all_rows(spark):
+    first = ["abigail", "augustin", "cornelia", "dmitri", "ekaterina", "guillermo", "henrietta", "ignacio", "josephine", "leonardo"]
+    rare = [(f"{g} {s}", f"{g}.{s}@corp.example") for g in first for s in ("falmalescu", "berquaham")]
+    # Cut in two when typed, the name of a company looks like a first name, as often as it stands there.
+    rare += [("Kestle Wick", f"{w}.kestlewick@kestlewick.example") for w in ("team", "contact", "info")] + [("Kestle Wick Ferker", "team.kestlewick@hosting.example")] * 3
+    rare += [("Kestlewick Ferker", "kestlewick.team@hosting.example"), ("Nelly Torvezley" + " (temp)" * 30, "cornelia.torvezley@corp.example"), ("Nelly Falmalescu", "cornelia.falmalescu@corp.example")]
+    many = [("Anna Falmalescu", "anna.falmalescu@corp.example"), ("Anna Torvezley", "anna.torvezley@corp.example")]
+    df = spark.createDataFrame(rare, "name string, email string").unionByName(spark.createDataFrame(many * 30_000, "name string, email string"))
+    df = df.selectExpr("monotonically_increasing_id() AS rec_id", "name", "email")
+    got, want = N.fit_habits(df), N.Habits(rare + many * 30)
+    assert got.given == want.given == {*first, "anna"}
+    assert got.nick == want.nick == {"nelly": {"cornelia"}}
+    assert got.givens("nelly") == {"cornelia"} and N.fit_habits(df.limit(0)).given == set()

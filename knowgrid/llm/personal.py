@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowgrid.session import hash_sample, spread
+from knowgrid.session import discard, materialise, spread
 
 EMAIL, PHONE, ID_NUMBER, STREET_ADDRESS, NAME = KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS", "NAME")
-#: Names of the directory, and texts, that the name lexicon is fitted on, at most; chosen by a hash of their key.
-FIT_NAMES, FIT_TEXTS = 20_000, 6_000
+#: Names, and texts, of which a word needs one to be taken at its word; a rarer one has to be told from slips and ordinary words.
+USUAL_NAMES, USUAL_TEXTS = 10_000, 3_000
+#: Times written small for each time with a capital, from which a rarer word is an ordinary one.
+SMALL_SHARE = 0.2
 #: A span counts if pattern, check digits and context together reach this score.
 THRESHOLD = 1.0
 
@@ -121,27 +123,75 @@ def _plain(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower().replace("ł", "l").replace("ø", "o").replace("ı", "i").replace("ß", "ss")
 
 
+def count_names(names: Iterable[str | None]) -> dict[str, list[int]]:
+    """Of any part of the names: how often a word is the first and how often the last of two, and the middle one of three.
+    The empty word has the number of names of two words."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for n in names:
+        parts = (n or "").split()
+        if len(parts) in (2, 3) and "," not in n and all(re.fullmatch(r"[^\W\d_][\w'’-]+", p) for p in parts):
+            if len(parts) == 3:
+                out[_plain(parts[1])][2] += 1
+                continue
+            out[""][0] += 1
+            for k in (0, 1):
+                out[_plain(parts[k])][k] += 1
+    return out
+
+
+def count_words(texts: Iterable[str | None]) -> dict[str, list[int]]:
+    """Of any part of the texts: how often a word is written small and how often not. The empty word has their number."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    # Neither a word nor an address holds blanks: each piece between them is looked at once.
+    pieces, words = Counter(), Counter()
+    for t in texts:
+        if t is not None:
+            out[""][0] += 1
+            pieces.update(t.split())
+    for piece, k in pieces.items():
+        for w in re.findall(r"(?<![\w@.])[^\W\d_]+(?![\w@]|\.\w)", _EMAIL.sub(" ", piece) if "@" in piece else piece):
+            words[w] += k
+    for w, k in words.items():
+        out[_plain(w)][not w.islower()] += k
+    return out
+
+
+def usual_ends(ends: dict[str, int], surnames: int) -> set[str]:
+    """Endings that are usual, of how many surnames of six letters or more have each."""
+    return {e for e, k in ends.items() if k >= 3 and k >= 0.004 * surnames}
+
+
 class Lexicon:
     """What first and last names look like here, and which words are ordinary ones."""
 
-    def __init__(self, names: list[str], texts: list[str]):
-        first, last = Counter(), Counter()
-        for n in names:
-            parts = (n or "").split()
-            if len(parts) == 2 and "," not in n and all(re.fullmatch(r"[^\W\d_][\w'’-]+", p) for p in parts):
-                first[_plain(parts[0])] += 1
-                last[_plain(parts[1])] += 1
-        self.given = {w for w, k in first.items() if k >= 2 and k > 2 * last[w]}
-        surnames = {w for w, k in last.items() if k > 2 * first[w]} - self.given
-        ends = Counter(w[-3:] for w in surnames if len(w) >= 6)
-        self.ends = {e for e, k in ends.items() if k >= 3 and k >= 0.004 * len(surnames)}
-        # A surname met only once may be a slip or a nickname: its ending has to be usual, too.
-        self.surnames = {w for w in surnames if last[w] >= 2 or w[-3:] in self.ends}
-        lower, upper = Counter(), Counter()
-        for t in texts:
-            for w in re.findall(r"(?<![\w@.])[^\W\d_]+(?![\w@]|\.\w)", _EMAIL.sub(" ", t or "")):
-                (lower if w.islower() else upper)[_plain(w)] += 1
-        self.common = {w for w, k in lower.items() if k >= 2 and w not in self.given and w not in self.surnames}
+    def __init__(self, names: Iterable[str | None], texts: Iterable[str | None]):
+        words = count_names(names)
+        surnames = {w for w, (first, last, _) in words.items() if last > 2 * first}
+        self.learn(words, count_words(texts), usual_ends(Counter(w[-3:] for w in surnames if len(w) >= 6), len(surnames)))
+
+    def learn(self, words: dict[str, list[int]], seen: dict[str, list[int]], ends: set[str]) -> None:
+        """From the counts of names and of texts, and the usual endings of surnames.
+
+        Slips and chance repeat in a large table. A word that few names or texts have is an ordinary one if it is written small
+        often enough beside how often it has a capital, and nearly always if it ends like a surname; only otherwise is it a name.
+        """
+        n_names, n_texts = words.get("", (0,))[0], seen.get("", (0,))[0]
+        self.ends = ends
+
+        def ordinary(w: str) -> bool:
+            small, capital, _ = seen.get(w, (0, 0, 0))
+            by_share = small * SMALL_SHARE > capital + 1 if len(w) >= 6 and w[-3:] in ends else small > capital * SMALL_SHARE
+            return small >= 2 and (small * USUAL_TEXTS >= n_texts or by_share)
+
+        def told(w: str, k: int) -> bool:
+            return k >= 2 and (k * USUAL_NAMES >= n_names or not ordinary(w))
+
+        words = {w: v for w, v in words.items() if w}
+        self.given = {w for w, (first, last, _) in words.items() if first > 2 * last and told(w, first)}
+        # A surname met only once may be a slip or a nickname: its ending has to be usual, too. Part of a double first name
+        # comes last where the surname was left out, and stands in the middle more often.
+        self.surnames = {w for w, (first, last, mid) in words.items() if last > 2 * first and (w[-3:] in ends or last > mid and told(w, last))}
+        self.common = {w for w in seen if w and w not in self.given and w not in self.surnames and ordinary(w)}
         self.common |= {"cache", "queue", "gateway", "cluster", "pipeline", "platform", "systems", "holdings", "industries", "group", "corporation", "software", "team", "project"}
 
         tail = "|".join(sorted(self.ends))
@@ -282,15 +332,33 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit_lexicon(names: DataFrame, texts: DataFrame, max_names: int = FIT_NAMES, max_texts: int = FIT_TEXTS) -> Lexicon:
-    """From a bounded sample of names (``key, name``) and texts (``key, text``), chosen by a hash of the key."""
+def _added_up(values: DataFrame, count: Callable[[list], dict[str, list[int]]], label: str) -> DataFrame:
+    """``w, a, b, c``: what ``count`` says of the single column ``values``, counted where it lies."""
 
-    def some(df: DataFrame, n: int) -> list[str]:
-        k, v = df.columns
-        got = hash_sample(df.where(F.col(v).isNotNull()).select(k, F.substring(v, 1, 2000).alias("v")), k, n).collect()
-        return [r["v"] for r in got]
-
-    return Lexicon(some(names, max_names), some(texts, max_texts))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = count(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *(pa.array([v[k] for v in got.values()], pa.int64()) for k in range(3))], names=["w", "a", "b", "c"])
+
+    counted = spread(values).mapInArrow(run, "w string, a long, b long, c long")
+    return materialise(counted.groupBy("w").agg(*(F.sum(c).alias(c) for c in "abc")), label)
+
+
+def fit_lexicon(names: DataFrame, texts: DataFrame) -> Lexicon:
+    """From all names (``key, name``) and whole texts (``key, text``); words are collected as far as they can matter."""
+    named, seen = _added_up(names.select(names.columns[1]), count_names, "names"), _added_up(texts.select(texts.columns[1]), count_words, "words")
+    surnames, end = named.where("w <> '' and b > 2 * a"), F.right("w", F.lit(3))
+    counts = {r["e"]: r["n"] for r in surnames.where("length(w) >= 6").groupBy(end.alias("e")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").collect()}
+    ends = usual_ends(counts, surnames.count())
+    got = [
+        {r["w"]: [r["a"], r["b"], r["c"]] for r in df.collect()}
+        for df in (named.where(F.expr("w = '' or a >= 2 and a > 2 * b or b >= 2 and b > 2 * a") | F.expr("b > 2 * a") & end.isin(sorted(ends))), seen.where("w = '' or a >= 2"))
+    ]
+    lex = Lexicon([], [])
+    lex.learn(*got, ends)
+    discard(named)
+    discard(seen)
+    return lex
 
 
 def personal_pieces(texts: DataFrame, lex: Lexicon, redacted: bool = False) -> DataFrame:

@@ -62,8 +62,7 @@ def p1_hits(spark: SparkSession, d: str) -> DataFrame:
 def _free_texts(spark: SparkSession, d: str) -> tuple[DataFrame, personal.Lexicon]:
     fields = (("pd_incidents", "description"), ("pd_notes", "content"), ("matters", "narrative"))
     texts = personal.union_texts([(n, table(spark, d, n), c) for n, c in fields])
-    sample = texts.select(F.concat_ws("/", "src", "row_id").alias("key"), "text")
-    return texts, personal.fit_lexicon(table(spark, d, "people").select("rec_id", "name"), sample)
+    return texts, personal.fit_lexicon(table(spark, d, "people").select("rec_id", "name"), texts.select("row_id", "text"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

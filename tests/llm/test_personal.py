@@ -48,3 +48,20 @@ def test_tables(spark):
     assert red[1] == "Report came via [EMAIL], attached." and red[2] is None and red[3] == ""
     lex = P.fit_lexicon(df.limit(0).select("row_id", "text"), df.limit(0).select("row_id", "text"))
     assert P.personal_pieces(t.limit(0), lex).count() == 0 and P.find_spans(CASES[0][0], lex)
+
+
+def test_lexicon_counts_all_names_and_whole_texts(spark):
+    rare = ["harness", "ledger", "turbine", "walnut", "pebble", "lantern", "copper", "meadow", "thicket", "saddle"]
+    texts = [f"the {w} is worn" for w in rare] * 2 + ["so " * 900 + "a kettle and a kettle", None, ""] + ["Orla Fitzgrau was there", "asked orla fitzgrau"] * 3 + ["Orla Fitzgrau left"] * 40
+    first = ["Abigail", "Augustin", "Cornelia", "Dmitri", "Ekaterina", "Guillermo", "Henrietta", "Ignacio", "Josephine", "Leonardo"]
+    names = [f"{g} Falmalescu" for g in first] * 2 + ["Mary Ann"] * 3 + ["Mary Ann Falmalescu"] * 9 + ["Cornelia Zyx", "Dmitri Zyx", None, ""]
+    fill = ["Iris Bermalescu", "Iris Tormalescu", "Otto Lunmalescu"] * 10_000
+    df = lambda x: spark.createDataFrame([(v,) for v in x], "v string").selectExpr("monotonically_increasing_id() AS k", "v")
+    lex, want = P.fit_lexicon(df(names + fill), df(texts + ["it works"] * 20_000)), P.Lexicon(names + fill, texts + ["it works"] * 20_000)
+    assert (lex.given, lex.surnames, lex.common, lex.ends) == (want.given, want.surnames, want.common, want.ends)
+    assert {g.lower() for g in first} | {"mary", "iris", "otto"} == lex.given
+    assert {*rare, "kettle", "works"} <= lex.common and "zyx" in lex.surnames
+    # Written small now and then, but mostly as a name; and the second half of a first name is no surname.
+    assert not {"orla", "fitzgrau"} & lex.common and "ann" not in lex.surnames
+    found = lambda text: [text[a:b] for a, b, _ in P.find_spans(text, lex)]
+    assert found("Harness Falmalescu left; Mary Ann Falmalescu stayed, so did Orla Falmalescu") == ["Mary Ann Falmalescu", "Orla Falmalescu"]
